@@ -107,7 +107,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, rows_per_task: int =
         "rng", F.explode(p_salt).alias("salt"), F.lit(0).alias("kind"), "h1", F.xxhash64("key", F.lit("second")).alias("h2"),
         micros("since").alias("t0"), F.coalesce(micros("until"), F.lit(int(_FOREVER))).alias("t1"),
         none.alias("table_name"), F.lit(0).cast("long").alias("row_id"), none.alias("target_id"),
-    ).distinct()
+    )
     right = r.select(
         "rng", r_salt.alias("salt"), F.lit(1).alias("kind"), "h1", F.xxhash64("key", F.lit("second")).alias("h2"),
         micros("at").alias("t0"), F.lit(0).cast("long").alias("t1"), "table_name", F.col("row_id").cast("long").alias("row_id"), "target_id",

@@ -15,7 +15,7 @@ def delivered_sequence(repo_snapshots: DataFrame) -> DataFrame:
     last = (
         repo_snapshots.where(F.col("files").isNotNull() & F.col("repo_id").isNotNull() & F.col("snapshot_no").isNotNull())
         .groupBy("repo_id", "snapshot_no")
-        .agg(F.max_by(F.struct("commit_hash", "files"), F.struct(F.col("ingested_at").cast("long"), F.coalesce("commit_hash", F.lit("")))).alias("v"))
+        .agg(F.max_by(F.struct("commit_hash", "files"), F.struct(F.col("ingested_at"), F.coalesce("commit_hash", F.lit("")))).alias("v"))
     )
     w = Window.partitionBy("repo_id").orderBy("snapshot_no")
     return last.select(
@@ -32,7 +32,7 @@ def same_commit(a: Column, b: Column) -> Column:
 
 def bare(c: Column) -> Column:
     """Digest of a text without its white space; null stays null."""
-    return F.unhex(F.md5(F.regexp_replace(c, r"[\s\u0085   -     　]+", "")))
+    return F.unhex(F.md5(F.regexp_replace(c, r"(?U)\s+", "")))
 
 
 def merge_changes(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,7 +79,7 @@ def snapshot_changes(repo_snapshots: DataFrame, function_snapshots: DataFrame) -
     )
     files = seq.select("repo_id", "ord", "snapshot_no", "next_no", F.explode("files").alias("item", "f")).select(
         F.lit("file").alias("record_kind"), "repo_id", "item", "ord", "snapshot_no", "next_no",
-        F.encode(F.col("f.file_hash"), "utf-8").alias("value"), F.lit(0).cast("timestamp").alias("ingested_at"),
+        F.encode(F.col("f.file_hash"), "utf-8").alias("value"), F.lit("1970-01-01").cast("timestamp").alias("ingested_at"),
     )
     functions = function_snapshots.select(
         "repo_id", "snapshot_no", F.concat(F.coalesce("file_path", F.lit("")), F.lit(":"), F.coalesce("func_name", F.lit(""))).alias("item"),
