@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .bpe import encode
 from .neardup import similar_records, similarity_classes
 
 #: Signatures with this share of common words belong together.
@@ -25,6 +26,11 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of every document's text."""
+    return encode(table(spark, d, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "ids")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p7_ids)}
 
 SQL: dict[str, str] = {}
