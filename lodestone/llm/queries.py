@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .bpe import encode
 from .neardup import similar_records, similarity_classes
+from .stuffing import stuffed_pages
 
 #: Signatures with this share of common words belong together.
 SIGNATURE_SIMILARITY = 0.6
@@ -31,6 +32,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "ids")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p7_ids)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are keyword stuffing or lists of links."""
+    return stuffed_pages(table(spark, d, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p7_ids, p9_found)}
 
 SQL: dict[str, str] = {}
