@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .bpe import encode
+from .bpe import encode, token_counts
 from .neardup import similar_records, similarity_classes
+from .packing import pack
 from .stuffing import stuffed_pages
 
 #: Signatures with this share of common words belong together.
@@ -32,11 +33,33 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "ids")
 
 
+def _packed(spark: SparkSession, d: str, budget: str) -> tuple[DataFrame, int]:
+    capacity = table(spark, d, "budgets").where(F.col("budget_name") == budget).agg(F.max("max_tokens")).first()[0]
+    return pack(token_counts(table(spark, d, "documents"), "doc_id", "text"), capacity), capacity
+
+
+def p8_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of at least one token in contexts of the normal budget."""
+    packed, _ = _packed(spark, d, "normal")
+    return packed.select(F.col("context").alias("context_id"), F.col("key").alias("doc_id"), F.col("piece").alias("piece_no"), F.col("start").alias("token_start"), F.col("size").alias("n_tokens"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the contexts of the normal budget are."""
+    packed, capacity = _packed(spark, d, "normal")
+    per = packed.groupBy("context").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("pieces"))
+    used = F.sum("used")
+    return per.agg(
+        F.lit(capacity).alias("max_tokens"), F.count(F.lit(1)).alias("n_contexts"), F.sum("pieces").alias("n_pieces"), used.alias("n_tokens"), F.max("used").alias("fullest"),
+        F.ceil(used / capacity).alias("least_contexts"), F.round(used / (F.count(F.lit(1)) * capacity), 6).alias("fill"),
+    )
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that are keyword stuffing or lists of links."""
     return stuffed_pages(table(spark, d, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p7_ids, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p7_ids, p8_contexts, p8_fill, p9_found)}
 
 SQL: dict[str, str] = {}
