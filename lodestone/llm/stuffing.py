@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,13 +121,9 @@ def recurrence(terms: list[str]) -> tuple[np.ndarray, float]:
     return near, (peak - chance) / (1 - chance) if chance < 1 else 1.0
 
 
-def _barred(lines: list[str]) -> set[str]:
+def _barred(function_words: list[list[str]]) -> set[str]:
     """A function word that makes up most of a text's function words is a keyword there."""
-    counts: dict[str, int] = {}
-    for line in lines:
-        for w in line.lower().split():
-            if w in FUNCTION_WORDS:
-                counts[w] = counts.get(w, 0) + 1
+    counts = Counter(w for ws in function_words for w in ws)
     total = sum(counts.values())
     return {w for w, n in counts.items() if n >= 8 and n * 5 > total * 3}
 
@@ -155,26 +152,27 @@ def stuffing(text: str | None) -> tuple[int, int]:
     if not text.isascii():
         text = ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", text))
     lines = [x for x in LINES.split(text) if x and not x.isspace()]
-    barred = _barred(lines)
+    split = [x.lower().split() for x in lines]
+    grammar = [[w for w in ws if w in FUNCTION_WORDS] for ws in split]
+    barred = _barred(grammar)
     solid, links, loose, open_lines, coded, prose = 0, 0, [], [], 0, []
     fenced = False
-    for line in lines:
-        quick = line.lower().split()
-        if len(quick) >= 5 and len(quick) < 60:
-            fw = sum(w in FUNCTION_WORDS for w in quick)
-            if fw * 5 >= len(quick) and not barred and "http" not in line:
-                if len(set(quick)) * 10 < 6 * len(quick) and _monotone(quick):
-                    loose += words_of(line)
-                    continue
-                solid += len(quick)
+    for line, quick, fw in zip(lines, split, grammar):
+        n = len(quick)
+        if n >= 5 and len(fw) * 5 >= n and not barred and "http" not in line:
+            if len(set(quick)) * 10 < 6 * n and _monotone(quick):
+                loose += words_of(line)
+                continue
+            if n < 60 or all(sum(w in FUNCTION_WORDS for w in quick[i : i + 30]) >= 5 for i in range(0, n - 29, 30)):
+                solid += n
                 prose.append(quick)
                 continue
         if FENCE.match(line):
             fenced = not fenced
             continue
         marked = MARKED.search(line)
-        if (len(quick) == 1 and len(line) >= 20 and not marked and "://" not in line and not CJK_RUN.search(line)) or LOG.match(line) or (not marked and CODE.search(line)) or (fenced and not marked and "://" not in line):
-            solid += len(quick)
+        if (n == 1 and len(line) >= 20 and not marked and "://" not in line and not CJK_RUN.search(line)) or LOG.match(line) or (not marked and CODE.search(line)) or (fenced and not marked and "://" not in line):
+            solid += n
             coded += 1
             continue
         open_lines.append((line, quick))
@@ -189,12 +187,18 @@ def stuffing(text: str | None) -> tuple[int, int]:
             loose += words_of(line)
             continue
         rest = MARKUP.sub(" ", LINK.sub(" ", line) if urls else line)
-        ws = words_of(rest)
-        if not urls and ws and sum(w.isdigit() for w in ws) * 3 > len(ws):
-            solid += len(ws)
-            continue
-        for seg in SENTENCE_END.split(rest) if len(ws) >= 8 else (rest,):
-            sw = words_of(seg) if seg is not rest else ws
+        if not urls:
+            values = [w for w in (x.strip(EDGES) for x in quick) if w]
+            if sum(w.isdigit() for w in values) * 3 > len(values):
+                solid += len(values)
+                continue
+        for seg in SENTENCE_END.split(rest) if len(quick) >= 8 or not rest.isascii() else (rest,):
+            q = seg.lower().split()
+            fw = sum(w in FUNCTION_WORDS and w not in barred for w in q)
+            if fw and fw * 7 >= len(q):
+                solid += len(q)
+                continue
+            sw = words_of(seg)
             if not sw:
                 continue
             if is_sentence(sw, seg, barred):
