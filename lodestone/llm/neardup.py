@@ -26,7 +26,7 @@ from ..session import cut
 COUNT_BITS = 17
 #: Words looked at for correlation, and words in one correlated part.
 FREQUENT, PART_WORDS = 48, 4
-_KEYS = "key long, asks boolean, cls long, n int"
+_KEYS = "key long, cls long, n int"
 
 
 def tau(a: int, b: int, t: float) -> int:
@@ -37,9 +37,9 @@ def tau(a: int, b: int, t: float) -> int:
 
 
 def parts_of(size: int) -> int:
-    """Number of hashed parts used by a set of this size when it asks: about three words a part."""
-    m = 4
-    while m * 3 < size:
+    """Number of hashed parts used by a set of this size when it asks: at most about four words a part."""
+    m = 12
+    while m * 4 < size:
         m *= 2
     return m
 
@@ -57,7 +57,7 @@ def allocate(cost: np.ndarray, allowed: np.ndarray, need: np.ndarray) -> np.ndar
     pick = np.zeros((parts, n, top + 1), np.int8)
     for i in range(parts):
         best[i + 1] = best[i]
-        for k in range(min(kinds, top)):
+        for k in range(min(kinds, top, int(allowed[:, i].max(initial=0)))):
             ok = (allowed[:, i] > k)[:, None]
             # a part may overshoot: what is needed beyond zero counts as zero
             src = np.maximum(np.arange(top + 1) - (k + 1), 0)
@@ -99,17 +99,17 @@ class _Prober:
             part = np.where(hit, self.group_of[at], part)
         return part
 
-    def emit(self, cls: np.ndarray, offsets: np.ndarray, flat: np.ndarray) -> Iterator[tuple[np.ndarray, bool, np.ndarray, np.ndarray]]:
+    def emit(self, cls: np.ndarray, offsets: np.ndarray, flat: np.ndarray, asking: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         size = np.diff(offsets)
         asked = np.array([parts_of(int(s)) for s in size])
         # a set is found in the layouts of all sets that may ask for it: those from its size to size / t
         reach = np.array([parts_of(int(np.floor(s / self.t + 1e-9))) for s in size])
         for m in sorted(set(asked) | set(reach)):
-            rows = np.flatnonzero((asked <= m) & (reach >= m))
+            rows = np.flatnonzero(asked == m if asking else (asked <= m) & (reach >= m))
             if len(rows):
-                yield from self._layout(int(m), rows, asked[rows] == m, cls, offsets, flat, size)
+                yield from self._layout(int(m), rows, asking, cls, offsets, flat, size)
 
-    def _layout(self, m, rows, asks, cls, offsets, flat, size):
+    def _layout(self, m, rows, asking, cls, offsets, flat, size):
         parts = self.groups + m
         take = np.concatenate([np.arange(offsets[r], offsets[r + 1]) for r in rows])
         own = np.repeat(np.arange(len(rows)), size[rows])
@@ -135,20 +135,19 @@ class _Prober:
             return [(whole - sum(x)) & 0xFFFFFFFFFFFFFFFF for x in itertools.combinations(w, d)]
 
         ids = cls[rows]
-        some = np.flatnonzero(held)
-        yield key(total[some], some % parts, 0), False, ids[some // parts], size[rows][some // parts]
-        for c in np.flatnonzero(held >= 3).tolist():  # with d left out a cell of 2d + 1 words or more may be asked for
-            p, r = np.array([c % parts]), c // parts
-            for d in range(1, (int(held[c]) - 1) // 2 + 1):
-                got = key(np.array(left(c, d), np.uint64), p, d)
-                yield got, False, np.repeat(ids[r], len(got)), np.repeat(size[rows[r]], len(got))
-        q = np.flatnonzero(asks)
-        if not len(q):
+        if not asking:
+            some = np.flatnonzero(held)
+            yield key(total[some], some % parts, 0), ids[some // parts], size[rows][some // parts]
+            for c in np.flatnonzero(held >= 3).tolist():  # with d left out a cell of 2d + 1 words or more may be asked for
+                p, r = np.array([c % parts]), c // parts
+                for d in range(1, (int(held[c]) - 1) // 2 + 1):
+                    got = key(np.array(left(c, d), np.uint64), p, d)
+                    yield got, np.repeat(ids[r], len(got)), np.repeat(size[rows[r]], len(got))
             return
-        need = np.array([1 + max(tau(int(s), b, self.t) for b in range(max(1, int(np.ceil(self.t * s - 1e-9))), int(s) + 1)) for s in size[rows[q]].tolist()])
-        h2 = held.reshape(len(rows), parts)[q]
+        need = np.array([1 + max(tau(int(s), b, self.t) for b in range(max(1, int(np.ceil(self.t * s - 1e-9))), int(s) + 1)) for s in size[rows].tolist()])
+        h2 = held.reshape(len(rows), parts)
         kinds = int(min(h2.max(), need.max()))
-        cost = np.full((len(q), parts, kinds), float(self.total))
+        cost = np.full((len(rows), parts, kinds), float(self.total))
         # expected sets that share all but T words of a part, words taken as independent; in a correlated part as one
         e = np.zeros((len(held), int(held.max()) + 1))
         e[:, 0] = 1
@@ -158,7 +157,7 @@ class _Prober:
             e[cell[at], 1:] += df[at][:, None] * e[cell[at], :-1]
         high = np.zeros(len(held))
         np.maximum.at(high, cell, df)
-        cells = (q[:, None] * parts + np.arange(parts)).astype(np.int64)
+        cells = np.arange(len(rows) * parts).reshape(len(rows), parts)
         for k in range(kinds):
             shared = np.maximum(h2 - k, 0)
             est = np.take_along_axis(e[cells], shared[:, :, None], 2)[:, :, 0]
@@ -176,23 +175,23 @@ class _Prober:
                 got = [left(int(x), d) for x in c]
                 src = np.repeat(np.arange(len(c)), [len(g) for g in got])
                 sums, lim = np.array(list(itertools.chain.from_iterable(got)), np.uint64), (T - d)[src]
-            p, who = hit[src, 1], rows[q[hit[src, 0]]]
+            p, who = hit[src, 1], rows[hit[src, 0]]
             for dx in range(int(lim.max(initial=-1)) + 1):  # d words left out here and dx there
                 ok = lim >= dx
-                yield key(sums[ok], p[ok], dx), True, cls[who[ok]], size[who[ok]]
+                yield key(sums[ok], p[ok], dx), cls[who[ok]], size[who[ok]]
 
 
-def _probing(prober_args: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _probing(prober_args: tuple, asking: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prober = _Prober(*prober_args)
         for b in batches:
             if not b.num_rows:
                 continue
             lists = b.column("words")
-            out = list(prober.emit(b.column("cls").to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()))
+            out = list(prober.emit(b.column("cls").to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(), asking))
             if out:
-                cols = [np.concatenate([x[0] for x in out]), np.concatenate([np.full(len(x[0]), x[1]) for x in out]), np.concatenate([x[2] for x in out]), np.concatenate([x[3] for x in out]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "asks", "cls", "n"])
+                cols = [np.concatenate(x) for x in zip(*out)]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32))], ["key", "cls", "n"])
 
     return run
 
@@ -245,9 +244,9 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
         top = words.where(bucket.isin(heavy)).groupBy("w").count().where(F.col("count") * 100 > total)
         frequent = [r["w"] for r in top.orderBy(F.desc("count"), "w").limit(FREQUENT).collect()]
     number, groups = _correlated_parts(sets, frequent)
-    sent = sets.mapInArrow(_probing((t, counts.astype(np.float32), total, number, groups)), _KEYS)
-    asks = sent.where("asks").select("key", F.col("cls").alias("a"), F.col("n").alias("na"))
-    has = sent.where("not asks").select("key", F.col("cls").alias("b"), F.col("n").alias("nb"))
+    args = (t, counts.astype(np.float32), total, number, groups)
+    asks = sets.mapInArrow(_probing(args, True), _KEYS).select("key", F.col("cls").alias("a"), F.col("n").alias("na"))
+    has = sets.mapInArrow(_probing(args, False), _KEYS).select("key", F.col("cls").alias("b"), F.col("n").alias("nb"))
     fits = (F.col("nb") >= F.col("na") * t - 1e-9) & ((F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a"))))
     met = asks.join(has, "key").where(fits).select("a", "b").repartition("a").dropDuplicates(["a", "b"])
     left = sets.select(F.col("cls").alias("a"), F.col("words").alias("wa"))
