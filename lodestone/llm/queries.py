@@ -9,6 +9,7 @@ from ..session import table
 from .bpe import encode, token_counts
 from .neardup import similar_records, similarity_classes
 from .packing import pack
+from .secrets import credentials, redacted
 from .stuffing import stuffed_pages
 
 #: Signatures with this share of common words belong together.
@@ -28,6 +29,26 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _patches(spark: SparkSession, d: str) -> DataFrame:
+    """All patches and diffs with the repository that owns them."""
+    pulls = table(spark, d, "pull_requests").select(F.col("pr_id").alias("row_id"), F.col("repo_id").alias("owner"), F.col("diff").alias("text"))
+    owners = pulls.select(F.col("row_id").alias("pr_id"), "owner").dropDuplicates(["pr_id"])
+    files = table(spark, d, "pr_files").select(F.col("pr_file_id").alias("row_id"), "pr_id", F.col("patch").alias("text")).join(owners, "pr_id", "left")
+    cols = ["row_id", "owner", "text"]
+    return files.select(F.lit("pr_files").alias("table_name"), *cols).unionByName(pulls.select(F.lit("pull_requests").alias("table_name"), *cols))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of patches and diffs on which a literal credential starts."""
+    return credentials(_patches(spark, d)).select("table_name", "row_id", "line_no").distinct()
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every patch and diff with only its credentials replaced."""
+    texts = _patches(spark, d)
+    return redacted(texts, credentials(texts))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every document's text."""
     return encode(table(spark, d, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "ids")
@@ -60,6 +81,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages(table(spark, d, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p7_ids, p8_contexts, p8_fill, p9_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p6_found, p6_redacted, p7_ids, p8_contexts, p8_fill, p9_found)}
 
 SQL: dict[str, str] = {}
