@@ -151,7 +151,7 @@ def node_id(c: Column | str) -> Column:
 
 
 # fixed values: SQL verbs and what follows them
-_TABLES = (r"\bFROM\s+([A-Z0-9_.]+)", r"\bINSERT\s+INTO\s+([A-Z0-9_.]+)", r"\bUPDATE\s+([A-Z0-9_.]+)", r"\bDELETE\s+FROM\s+([A-Z0-9_.]+)")
+_TABLES = (r"FROM\s+(\w+)", r"INSERT\s+INTO\s+(\w+)", r"UPDATE\s+(\w+)", r"DELETE\s+FROM\s+(\w+)")
 
 
 def sql_table(sql: Column | str) -> Column:
@@ -161,12 +161,12 @@ def sql_table(sql: Column | str) -> Column:
 
 
 def verb_of_name(name: Column | str) -> Column:
-    """HTTP verb that a handler's name suggests; ANY without a hint."""
+    """HTTP verb that a handler's name suggests; empty without a hint."""
     n = F.lower(_col(name))
     starts = lambda *p: n.rlike("^(?:" + "|".join(p) + ")")
     return (
-        F.when(starts("get", "list", "find", "fetch", "read", "search"), "GET").when(starts("create", "add", "post", "insert", "register"), "POST")
-        .when(starts("update", "put", "edit", "modify", "replace"), "PUT").when(starts("patch"), "PATCH").when(starts("delete", "remove", "destroy"), "DELETE").otherwise("ANY")
+        F.when(starts("get", "list", "fetch"), "GET").when(starts("create", "post", "add"), "POST").when(starts("update", "put", "edit"), "PUT")
+        .when(starts("delete", "remove"), "DELETE").when(starts("handle"), "ANY").otherwise("")
     )
 
 

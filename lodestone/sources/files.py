@@ -17,10 +17,9 @@ LANGUAGE_BY_EXTENSION = {
     "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "xml": "xml", "html": "html", "htm": "html", "css": "css", "scss": "scss", "sass": "scss",
     "sql": "sql", "sh": "shell", "bash": "shell", "proto": "protobuf",
 }
-#: Directories that a local project scan leaves out, besides those that start with a dot.
-LOCAL_SKIPPED = tuple("node_modules vendor dist build target out bin obj coverage __pycache__ venv env tmp temp logs cache bower_components jspm_packages deps packages third_party".split())
-#: Extensions that count as code in a local project scan.
-CODE_EXTENSIONS = tuple("go ts tsx js jsx mjs py rs java kt scala c h cpp hpp cc cs rb php swift m mm sql sh bash proto graphql vue svelte dart ex exs lua r pl".split())
+# fixed values: directories that a local project scan leaves out, besides those that start with a dot, and code extensions
+LOCAL_SKIPPED = tuple("node_modules vendor dist target __pycache__ coverage bin obj venv env tmp temp logs".split())
+CODE_EXTENSIONS = tuple("go js ts jsx tsx py java rs rb php c cpp h hpp cs swift kt scala ex exs erl clj sql sh bash zsh yaml yml json xml proto graphql gql".split())
 
 
 def excluded(path: Column, patterns: list[str]) -> Column:
@@ -67,7 +66,7 @@ def scan_local(spark: SparkSession, root: str, include_all: bool = False, max_by
     """A project directory: code only (or all with ``include_all``), no dot directories, no directories of tools."""
     df = scan(spark, root, [], max_bytes)
     dirs = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
-    kept = df.where(~F.exists(dirs, lambda d: d.startswith(".") | F.lower(d).isin(*LOCAL_SKIPPED)))
+    kept = df.where(~F.exists(dirs, lambda d: d.startswith(".") | d.isin(*LOCAL_SKIPPED)))
     return kept if include_all else kept.where(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*CODE_EXTENSIONS))
 
 
