@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import changes, compare, embedding, graph, impact, org, rank, search
+from ..operators import changes, compare, embedding, extraction, graph, impact, org, rank, router, search
 from ..operators import usage as U
 from ..session import table
 from ..sources import files as S
 from . import bindings as B
+from . import compose
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -801,3 +802,74 @@ def f_severity(spark, d):
     """conflicts of the highest severity."""
     c = compare.conflicts(B.functions(spark, d), _target(spark, d)).withColumn("severity", F.when(F.col("severity") == "high", "critical").otherwise("important"))
     return impact.severity_filter(c, "critical").select("line_start")
+
+
+# --- extraction ---------------------------------------------------------------------------------------------------------
+
+_SIG = "regexp_matches(signature, '^\\s*func \\w+\\(')"
+
+
+def _sources(spark, d):
+    """One small source text per function, made of its signature."""
+    sig = F.regexp_replace("signature", r"\s*\{?\s*$", "")
+    return B.functions(spark, d).where(F.col("signature").rlike(r"^\s*func \w+\(")).select("line_start", "repo_id", F.concat(F.col("line_start").cast("string"), F.lit(".go")).alias("path"), F.concat(F.lit("package p\n\n"), sig, F.lit(" {\n\tx.Run()\n}\n")).cast("binary").alias("content"))
+
+
+@query(f"SELECT line_start, regexp_extract(signature, 'func (\\w+)', 1) AS name, regexp_matches(signature, 'func [A-Z]') AS is_public, CASE WHEN regexp_matches(signature, '\\(\\s*ctx context\\.Context') THEN 'context.Context' ELSE '' END AS first_context FROM {{fn}} WHERE {_SIG}")
+def x_extract(spark, d):
+    """Functions parsed from source texts."""
+    e = extraction.functions(extraction.extract(_sources(spark, d)))
+    first = F.get("parameters", F.lit(0))
+    ctx = F.when(first["type"] == "context.Context", "context.Context").otherwise("")
+    return e.select(F.regexp_extract("path", "^(-?[0-9]+)", 1).cast("long").alias("line_start"), "name", "is_public", ctx.alias("first_context"))
+
+
+@query()
+def x_extract_detail(spark, d):
+    """Complexity, calls, effects, errors and behaviour of parsed functions."""
+    e = extraction.functions(extraction.extract(_sources(spark, d)))
+    return e.groupBy("behavior.output_source", "error_handling.returns_error", "complexity").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("calls")).alias("n_calls"), F.sum(F.size("side_effects")).alias("n_effects"))
+
+
+@query("SELECT doc_id, string_split(p, ' ')[1] AS route, upper(regexp_extract(p, '\\[(\\w+)\\]', 1)) AS method FROM (SELECT doc_id, unnest(['/docs/' || doc_id || ' [get]', '/sources/' || coalesce(source, 'none') || ' [post]']) AS p FROM documents)")
+def x_doc_routes(spark, d):
+    """Routes in comments, all of each text."""
+    c = F.concat(F.lit("// @Router /docs/"), "doc_id", F.lit(" [get]\n// text\n// @Router /sources/"), F.coalesce("source", F.lit("none")), F.lit(" [post]"))
+    return table(spark, d, "documents").select("doc_id", F.explode(X.doc_routes(c)).alias("r")).select("doc_id", F.col("r.path").alias("route"), F.col("r.method").alias("method"))
+
+
+# --- questions ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT line_start, CASE line_start % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'callers' WHEN 2 THEN 'calls' ELSE 'flow' END AS intent, lower(name) AS argument FROM {fn}")
+def q_router(spark, d):
+    """Intents and arguments of questions about every function."""
+    n = F.col("name")
+    kind = F.col("line_start") % 4
+    text = F.when(kind == 0, F.concat(F.lit("What does "), n, F.lit(" do?"))).when(kind == 1, F.concat(F.lit("who calls "), n)).when(kind == 2, F.concat(F.lit("dependencies of "), n)).otherwise(F.concat(F.lit("trace "), n))
+    return B.functions(spark, d).select("line_start", router.classify(text).alias("c")).select("line_start", "c.intent", "c.argument")
+
+
+@query()
+def q_titles_router(spark, d):
+    """Q5: intents of pull requests' titles."""
+    return B.titles(spark, d).select(router.classify(F.col("query")).alias("c")).groupBy("c.intent").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT package, count(*) AS n_functions, count(DISTINCT path) AS n_files FROM {fn} GROUP BY 1")
+def q_answer(spark, d):
+    """Q6: rows that answer a question about the architecture."""
+    return compose.answer(B.functions(spark, d), B.calls(spark, d), "show the project layout")[2]
+
+
+@query("SELECT f.repo_id, f.path, f.name, count(c.callee) AS n_callers FROM (SELECT DISTINCT repo_id, path, name, line_start FROM {fn} WHERE contains(lower(name), 'ledger') OR contains(lower(signature), 'ledger') ORDER BY repo_id, path, name LIMIT 20) f LEFT JOIN {calls} c ON c.repo_id = f.repo_id AND c.callee = f.name GROUP BY f.repo_id, f.path, f.name, f.line_start")
+def q_find_and_expand(spark, d):
+    """Functions found and expanded with their callers."""
+    ctx = compose.Chain(compose.Step("find", compose.find_and_expand, {"functions": "{{functions}}", "calls": "{{calls}}", "query": "ledger"}, store="found")).use(compose.timing).run(functions=B.functions(spark, d), calls=B.calls(spark, d))
+    return ctx.last_data
+
+
+@query("SELECT cost_level, count(*) AS n FROM (VALUES ('expensive'), ('cheap'), ('cheap'), ('free'), ('free'), ('free'), ('free'), ('free'), ('free'), ('free'), ('cheap'), ('cheap'), ('cheap'), ('expensive'), ('expensive')) t(cost_level) GROUP BY 1")
+def k_hints(spark, d):
+    """Tools by cost."""
+    return compose.hints(spark).groupBy("cost_level").agg(F.count(F.lit(1)).alias("n"))
