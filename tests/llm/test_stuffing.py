@@ -41,7 +41,7 @@ def test_recurrence():
     near, auto = recurrence("best a best b best c best d best e".split())
     assert 0.25 < auto < 0.35 and near.sum() == 5
     near, auto = recurrence([f"w{i}" for i in range(50)])
-    assert auto == 0 and not near.any()
+    assert auto <= 0 and not near.any()
 
 
 def test_frame(spark):
