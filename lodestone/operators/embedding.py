@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import code_tokens, polynomial_hash
-from ..functions.vectors import cosine
+
+#: Queries of a similarity search that are broadcast at once.
+QUERY_BLOCK = 4096
 
 
 def document_frequency(docs: DataFrame, text: str) -> DataFrame:
@@ -47,14 +53,71 @@ def embed(docs: DataFrame, key: str, text: str, vocab: DataFrame, dimension: int
     return docs.select(F.col(key).alias("key")).distinct().join(cells, "key", "left").select("key", F.coalesce(filled, zero).alias("vector"))
 
 
-def search(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+def _nearest(block, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Best ``k`` of one partition for each query of a block, by matrix products of batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit = block.value
+        held: list[tuple[np.ndarray, np.ndarray, list]] = []  # query number, similarity, key
+        for b in batches:
+            lists = b.column("v")
+            lengths = lists.value_lengths().fill_null(0).to_numpy()
+            at = np.flatnonzero(lengths == unit.shape[1])
+            if not len(at):
+                continue
+            rows = lists.take(pa.array(at))
+            m = rows.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), unit.shape[1])
+            norm = np.sqrt((m * m).sum(1))
+            sim = (m / np.where(norm > 0, norm, 1)[:, None]) @ unit.T
+            keys = b.column("key").take(pa.array(at))
+            # all that reach the k-th best of the batch, so that ties are settled by key, not by place
+            floor = np.partition(sim, -k, axis=0)[-k] if len(at) > k else np.full(len(ids), -np.inf)
+            r, q = np.nonzero((sim > 0) & (sim >= floor))
+            held.append((q, sim[r, q], keys.take(pa.array(r)).to_pylist()))
+        if held:
+            q, s = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), pa.array([x for h in held for x in h[2]]), pa.array(s)], ["query_id", "key", "similarity"])
+
+    return run
+
+
+def search(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, key, similarity, rank) of the ``k`` most similar vectors with positive similarity to each query.
 
-    ``queries``: query_id, query. It holds the few vectors asked about, and is broadcast only below Spark's own size
-    limit for it. Each partition keeps its k best per query before the shuffle. Ties go to the smaller key.
+    Exact, in blocks of at most ``block`` queries: each is broadcast (its size is fixed) and meets every row by matrix
+    products; a batch keeps what reaches its k-th best. No pair of vectors becomes a row of its own otherwise. Vectors
+    of another length, empty, null or zero ones are similar to nothing. Ties go to the smaller key.
     """
-    pairs = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).join(queries.select("query_id", F.col("query").alias("q")))
-    scored = pairs.select("query_id", "key", cosine(F.col("q"), F.col("v")).alias("similarity")).where(F.col("similarity") > 0)
+    spark = vectors.sparkSession
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {vectors.schema[key].dataType.simpleString()}, similarity double"
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    parts: list[DataFrame] = []
+
+    def add(ids: list, found: list[list[float]]) -> None:
+        for n in {len(v) for v in found if v}:
+            of = [i for i, v in enumerate(found) if v and len(v) == n]
+            m = np.array([found[i] for i in of], np.float64)
+            norm = np.sqrt((m * m).sum(1))
+            good = np.flatnonzero(norm > 0)
+            if len(good):
+                sent = spark.sparkContext.broadcast(([ids[of[i]] for i in good], m[good] / norm[good][:, None]))
+                parts.append(rows.mapInArrow(_nearest(sent, k), kinds))
+
+    ids, found = [], []
+    for r in queries.select("query_id", "query").toLocalIterator():
+        if r["query"] is None:
+            continue
+        ids.append(r["query_id"])
+        found.append(list(r["query"]))
+        if len(ids) == block:
+            add(ids, found)
+            ids, found = [], []
+    add(ids, found)
+    if not parts:
+        return spark.createDataFrame([], kinds + ", rank int")
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -49,13 +49,14 @@ def language(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table(LANGUAGE_BY_NAME), name), F.try_element_at(table(LANGUAGE_BY_EXTENSION), ext), F.lit("unknown"))
 
 
-def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, max_bytes: int = MAX_FILE_BYTES, hidden: list[str] | None = None) -> DataFrame:
     """Files below a directory: path (relative), size, mod_time, language, hash (whole SHA-256), content.
 
     One distributed listing and read; excluded and too large files are dropped by the path and length of the scan.
+    Spark's listing leaves out names that begin with a dot or an underscore; ``hidden`` names such paths to be read too.
     """
     base = root.rstrip("/") + "/"
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([root, *(base + h for h in hidden or [])])
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + base.replace(".", r"\."), "")
     return df.where(F.col("length") <= max_bytes).select(
         rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"), "content"

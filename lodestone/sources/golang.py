@@ -463,7 +463,7 @@ def _values(ts: list[Tok], kind: str, f: File) -> None:
 def parse(src: str) -> File:
     """Declarations of a source text; raises :class:`ParseError`."""
     ts = lex(src)
-    if len(ts) < 2 or ts[0].text != "package":
+    if len(ts) < 2 or ts[0].text != "package" or ts[1].kind != "id":
         raise ParseError("no package")
     f = File(ts[1].text, ts[0].doc)
     try:
@@ -474,7 +474,9 @@ def parse(src: str) -> File:
             if k == "func":
                 _func(run, f)
             elif k in ("import", "const", "var", "type"):
-                groups = split(run[2 : match(run, 1)], ";") if len(run) > 1 and run[1].text == "(" else [run[1:]]
+                if len(run) < 2:
+                    raise ParseError(f"line {run[0].line}")
+                groups = split(run[2 : match(run, 1)], ";") if run[1].text == "(" else [run[1:]]
                 for g in filter(None, groups):
                     if k == "import":
                         f.imports.append((g[0].text if len(g) > 1 else "", g[-1].text.strip('"`')))
