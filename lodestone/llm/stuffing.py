@@ -67,6 +67,8 @@ LAGS, NEAR = 12, 40
 #: Loose words are stuffing if so large a share recurs, at so high an autocorrelation, or if they are so many.
 RECURRING, REGULAR, LONG_LIST = 0.3, 0.1, 50
 LINK_WORDS = 3
+#: Words with a larger share of function words are sentences, however few terms they repeat.
+SPRINKLED = 0.425
 
 
 def words_of(text: str) -> list[str]:
@@ -133,8 +135,9 @@ def _monotone(words: list[str]) -> bool:
 
     Repeated sentences also repeat their terms, but in the same order: their pairs of neighbours recur as well.
     """
-    c = [x for x in (w.strip(EDGES) for w in words) if x and x not in FUNCTION_WORDS]
-    if len(c) < 12:
+    every = [x for x in (w.strip(EDGES) for w in words) if x]
+    c = [x for x in every if x not in FUNCTION_WORDS]
+    if len(c) < 12 or len(every) - len(c) > SPRINKLED * len(every):
         return False
     hits = windows = 0
     for i in range(0, len(c) - 11, 40):

@@ -23,6 +23,7 @@ FINE = {
     "code": "\n".join(f"\tif err := s.run({w}); err != nil {{\n\t\treturn err\n\t}}" for w in some(30)), "logs": "\n".join(f"2025-01-19T09:17:{i:02}Z WARN quota refresh bucket failed after 807ms attempt=8" for i in range(40)),
     "values": "| run | name | ms | rows |\n|---|---|---|---|\n" + "\n".join(f"| {i} | {w} | {i * 37} | {i * 991} |" for i, w in enumerate(some(40))), "env": "\n".join(f"{a.upper()}_{b.upper()}={i}" for i, (a, b) in enumerate(zip(some(40), some(40)))),
     "yaml": "\n".join(f"{a}:\n  {b}_dir: \"/srv/{a}\"\n  {b}: {i}\n    - {b}" for i, (a, b) in enumerate(zip(some(20), some(20)))), "gomod": "module git.x.test/a\n\nrequire (\n" + "\n".join(f"\tgit.x.test/{a}/{b} v1.{i}.0" for i, (a, b) in enumerate(zip(some(30), some(30)))) + "\n)", "base64": PROSE + "\n" + "\n".join("kq9ZzX0aQpLmNoPqRsTuVwAB" * 3 for _ in range(30)),
+    "repeated word": "\n".join(f"The item is {w} when its {w} holds no other item, so check the item first." for w in NOUNS), "repeated word in a line": " ".join(f"The item is {w} when its item holds no other item, so check the item first." for w in NOUNS),
     "chinese": "如果 Save 失败,旧的状态会保留,调用方会收到一个错误。找不到结果时,函数返回一个空列表。启动之前请检查配置文件,否则会缺少数据。" * 3, "german": "Der Dienst liest jeden Datensatz nur einmal und schreibt danach das Protokoll. Wenn der Aufruf fehlschlägt, bleibt der alte Stand erhalten. " * 3,
 }
 
