@@ -51,11 +51,11 @@ SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。!?;])")
 LINES = re.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
 LOG = re.compile(r"^\W*(?:\[?\d{4}\W\d\d\W\d\d[T ]|\d\d:\d\d:\d\d|(?:INFO|WARN|ERROR|DEBUG|TRACE)\b)", re.I)
 CODE = re.compile(
-    r"[{}]\s*$|;\s*$|:=|\w\(\S*.*\)|\)\s*[{:]|^\s*\)\s*$|(?:^|\s)[({]\s*$|^\s*(?:module|package|import|from|require|use|go)\s+[\w./\"(-]+\s*$|"
+    r"[{}]\s*$|;\s*$|:=|\w\(\S*.*\)|\)\s*[{:]|^\s*\)\s*$|(?:^|\s)[({]\s*$|^\s*(?i:module|package|import|from|require|use|go)\s+[\w./\"(-]+\s*$|"
     r"^\s*(?:func|def|class|return|raise|var|let|const|type|struct|public|private|SELECT|INSERT|UPDATE|DELETE|ALTER|CREATE|echo|cd|export)\s.*[\s(){}=$/\"';_]|"
     r"^\s*(?:if|for|else|elif|try|catch|while|switch|case)\b.*[:;{\]]\s*(?:then|do)?\s*$|^\s*(?:fi|done|else|end|esac|then|do|return\s+\w+|pass)\s*$|"
     r"^\s*[\w.\"-]+\s*[=:]\s*(?:[\"'\d\[{]|true\b|false\b|null\b)|^\s*(?://|#!|--\s|\$ )|^\s*[\w./-]+(?:\s+--?[\w-]+(?:[ =]\S+)?)+\s*$|"
-    r"^\s*[A-Za-z_][A-Za-z0-9_.]*=\S*\s*$|^\s*[\w./-]+\s+v\d+\.\d+|^\s*\"[^\"]+\"[,:]?\s*$|^\s*\w+:\s*$|^\s+[\w-]+:\s\S+\s*$"
+    r"^\s*[A-Za-z_][A-Za-z0-9_.]*=\S*\s*$|^\s*[\w./-]+\s+[vV]\d+\.\d+|^\s*\"[^\"]+\"[,:]?\s*$|^\s*\w+:\s*$|^\s+[\w-]+:\s\S+\s*$"
 )
 FENCE = re.compile(r"^\s*(?:```|~~~)")
 ZERO_WIDTH = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
