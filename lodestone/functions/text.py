@@ -175,3 +175,15 @@ def doc_routes(comment: Column | str) -> Column:
     c = _col(comment)
     pattern = F.lit(r"@Router\s+(\S+)\s+\[(\w+)\]")
     return F.zip_with(F.regexp_extract_all(c, pattern, F.lit(1)), F.regexp_extract_all(c, pattern, F.lit(2)), lambda p, m: F.struct(p.alias("path"), F.upper(m).alias("method")))
+
+
+def pr_of_url(url: Column | str) -> Column:
+    """struct(owner, repo, number) of a pull request's address; null where it is none."""
+    c = F.regexp_replace(_col(url), "[?#].*$", "")
+    p = r"^https?://[^/]+/([^/]+)/([^/]+)/pull/(\d+)(?:/.*)?$"
+    return F.when(c.rlike(p), F.struct(F.regexp_extract(c, p, 1).alias("owner"), F.regexp_extract(c, p, 2).alias("repo"), F.regexp_extract(c, p, 3).cast("long").alias("number")))
+
+
+def vector_id(repo_id: Column, kind: str, path: Column, name: Column) -> Column:
+    """Identity of a function's or type's vector; equal names of one file share it."""
+    return F.concat_ws(":", repo_id, F.lit(kind), path, name)

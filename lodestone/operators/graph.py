@@ -93,3 +93,17 @@ def mermaid(edges: DataFrame) -> DataFrame:
 def dot(edges: DataFrame) -> DataFrame:
     """Lines of a DOT graph, one an edge."""
     return edges.select(F.concat(F.lit('  "'), dot_text("from_id"), F.lit('" -> "'), dot_text("to_id"), F.lit('";')).alias("line"))
+
+
+def caller_details(calls: DataFrame, functions: DataFrame, name: str) -> DataFrame:
+    """Callers of a name with their signatures, null where a caller is unknown."""
+    f = functions.groupBy("repo_id", F.col("path").alias("caller_path"), F.col("name").alias("caller")).agg(F.min("signature").alias("signature"))
+    return callers(calls, name).join(f, ["repo_id", "caller_path", "caller"], "left")
+
+
+def function_context(calls: DataFrame, repo_id: str, path: str, name: str) -> DataFrame:
+    """A function's neighbours: (relation, path, name, line) of its callers in the repository and of its callees."""
+    own = calls.where(F.col("repo_id") == repo_id)
+    up = own.where(F.col("callee") == name).select(F.lit("caller").alias("relation"), F.col("caller_path").alias("path"), F.col("caller").alias("name"), "line")
+    down = own.where((F.col("caller") == name) & (F.col("caller_path") == path)).select(F.lit("callee").alias("relation"), F.col("callee_file").alias("path"), F.col("callee").alias("name"), "line")
+    return up.unionByName(down).distinct()

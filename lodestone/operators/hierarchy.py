@@ -141,7 +141,8 @@ def hierarchy(links: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
     )
     where = placed.select(F.col("node").alias("parent"), F.col("block").alias("parent_block"))
     known = placed.join(where, "parent", "left").select("block", "node", F.when(F.col("parent_block").isNotNull(), F.col("parent")).alias("parent"), "parent_block")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # no task gets more than about a block, however many nodes there are
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * placed.count() // block_nodes), 1)
     local = cut(known.repartition(parts, "block").mapInArrow(_peel_blocks, _LOCAL))
     result = local.select("node", "path", "depth", F.col("top").alias("root"), F.when(F.col("depth") < 0, -1).otherwise(F.col("below")).alias("below"))
     out = local.where(F.col("out_parent").isNotNull()).select("node", "out_parent", F.col("below").alias("size"))

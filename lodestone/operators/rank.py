@@ -105,3 +105,18 @@ def pack(candidates: DataFrame, by: str, key: str, score: str, cost: str, budget
         return F.struct(used.alias("used"), F.when(full | short, F.concat(acc["out"], entry)).otherwise(acc["out"]).alias("out"))
 
     return lists.select(F.col("q").alias(by), F.explode(F.aggregate("rs", start, step, lambda a: a["out"])).alias("p")).select(by, F.col("p.k").alias(key), "p.form", "p.used")
+
+
+def top_per_category(df: DataFrame, category: str, score: str, ties: list[str], limits: dict[str, int]) -> DataFrame:
+    """The best rows of each category with a limit, positive scores only; ties by the given columns. Adds ``place``."""
+    w = Window.partitionBy(category).orderBy(F.desc(score), *ties)
+    most = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
+    return df.where((F.col(score) > 0) & F.col(category).isin(*limits)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.try_element_at(most, F.col(category)))
+
+
+def page(df: DataFrame, order: list[str], limit: int, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(rows of a page, one row with has_more and next_offset); a limit that isn't positive counts as 20."""
+    n = limit if limit > 0 else 20
+    ahead = df.orderBy(*order).offset(offset).limit(n + 1)
+    more = ahead.agg((F.count(F.lit(1)) > n).alias("has_more")).select("has_more", F.when(F.col("has_more"), offset + n).otherwise(0).alias("next_offset"))
+    return df.orderBy(*order).offset(offset).limit(n), more

@@ -234,3 +234,12 @@ HINTS = (
 def hints(spark) -> DataFrame:
     """Static frame of tools: name, output_size, cost_level, requires_ai."""
     return spark.createDataFrame(HINTS, "name string, output_size string, cost_level string, requires_ai boolean")
+
+
+def render(df: DataFrame, title: str, limit: int = 20) -> str:
+    """A small result as a Markdown table; ``limit`` rows at most."""
+    rows = df.limit(limit + 1).collect()
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    lines += ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows[:limit]]
+    return "\n".join([*lines, ""] + (["More rows follow."] if len(rows) > limit else []))

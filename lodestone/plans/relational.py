@@ -873,3 +873,71 @@ def q_find_and_expand(spark, d):
 def k_hints(spark, d):
     """Tools by cost."""
     return compose.hints(spark).groupBy("cost_level").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- further helpers ----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT pr_id, owner_name AS owner, repo_name AS repo, CAST(pr_number AS BIGINT) AS number FROM pull_requests")
+def k_pr_url(spark, d):
+    """Parts of pull requests' addresses."""
+    url = F.concat(F.lit("https://host.test/"), "owner_name", F.lit("/"), "repo_name", F.lit("/pull/"), "pr_number", F.lit("/files?x=1"))
+    return table(spark, d, "pull_requests").select("pr_id", X.pr_of_url(url).alias("u")).select("pr_id", "u.*")
+
+
+@query("SELECT pr_id, count(*) AS n_files, sum(additions) AS additions, sum(deletions) AS deletions, count(*) FILTER (change_status = 'added') AS n_added, count(*) FILTER (change_status = 'removed') AS n_removed FROM (SELECT DISTINCT pr_file_id, pr_id, additions, deletions, change_status FROM pr_files) GROUP BY 1")
+def a_pr_summary(spark, d):
+    """Files and lines that each pull request changes."""
+    f = table(spark, d, "pr_files").dropDuplicates(["pr_file_id"])
+    s = F.col("change_status")
+    return f.groupBy("pr_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.count_if(s == "added").alias("n_added"), F.count_if(s == "removed").alias("n_removed"))
+
+
+@query("SELECT repo_id, max(snapshot_no) AS last_snapshot, arg_max(lower(commit_hash), (snapshot_no, ingested_at)) AS commit_hash, max(analyzed_at) AS analyzed_at FROM repo_snapshots WHERE files IS NOT NULL GROUP BY 1")
+def s_metadata(spark, d):
+    """One row per repository in place of its whole documents."""
+    r = table(spark, d, "repo_snapshots").where("files IS NOT NULL")
+    return r.groupBy("repo_id").agg(F.max("snapshot_no").alias("last_snapshot"), F.max_by(F.lower("commit_hash"), F.struct("snapshot_no", "ingested_at")).alias("commit_hash"), F.max("analyzed_at").alias("analyzed_at"))
+
+
+@query("SELECT repo_id, count(DISTINCT package) AS n_packages, count(*) FILTER (lower(name) LIKE '%init%' OR name = 'main') AS entry_points, count(*) FILTER (is_public) AS n_public, count(*) AS n_functions FROM {fn} GROUP BY 1")
+def a_architecture(spark, d):
+    """Packages and entry points by repository."""
+    f = B.functions(spark, d)
+    entry = F.lower("name").contains("init") | (F.col("name") == "main")
+    return f.groupBy("repo_id").agg(F.count_distinct("package").alias("n_packages"), F.count_if(entry).alias("entry_points"), F.count_if("is_public").alias("n_public"), F.count(F.lit(1)).alias("n_functions"))
+
+
+@query("SELECT package, line_start, place FROM (SELECT package, line_start, s, row_number() OVER (PARTITION BY package ORDER BY s DESC, line_start) AS place FROM (SELECT package, line_start, (3.0 * contains(lower(name), 'order')::INT + contains(lower(signature), 'order')::INT) * CASE WHEN is_public THEN 1.2 ELSE 1 END AS s FROM {fn}) WHERE s > 0) WHERE (package = 'handlers' AND place <= 10) OR (package = 'models' AND place <= 15)")
+def t_top_per_category(spark, d):
+    """Best functions of each package, each with its own limit."""
+    n = F.lit("")
+    s = rank.keyword_score(F.lit("order"), F.col("name"), F.col("signature"), n, n, F.col("is_public"))
+    return rank.top_per_category(B.functions(spark, d).withColumn("s", s), "package", "s", ["line_start"], {"handlers": 10, "models": 15}).select("package", "line_start", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT count(*) > 30 AS has_more, CASE WHEN count(*) > 30 THEN 30 ELSE 0 END AS next_offset FROM {fn}")
+def t_page(spark, d):
+    """Whether a page of functions has a successor."""
+    return rank.page(B.functions(spark, d), ["line_start"], 20, 10)[1]
+
+
+@query("WITH c AS (SELECT repo_id, caller_path, caller, min(line) AS line FROM {calls} WHERE callee = (SELECT max(callee) FROM {calls}) GROUP BY ALL) SELECT c.*, f.signature FROM c LEFT JOIN (SELECT repo_id, path, name, min(signature) AS signature FROM {fn} GROUP BY ALL) f ON f.repo_id = c.repo_id AND f.path = c.caller_path AND f.name = c.caller")
+def j_caller_details(spark, d):
+    """Callers with their signatures."""
+    c = B.calls(spark, d)
+    return graph.caller_details(c, B.functions(spark, d), c.agg(F.max("callee")).first()[0] or "")
+
+
+@query("WITH f AS (SELECT repo_id, caller_path, caller FROM {calls} ORDER BY 1, 2, 3 LIMIT 1) SELECT DISTINCT 'caller' AS relation, c.caller_path AS path, c.caller AS name, c.line FROM {calls} c, f WHERE c.repo_id = f.repo_id AND c.callee = f.caller UNION SELECT 'callee', c.callee_file, c.callee, c.line FROM {calls} c, f WHERE c.repo_id = f.repo_id AND c.caller = f.caller AND c.caller_path = f.caller_path")
+def q_function_context(spark, d):
+    """Q4: callers and callees of one function."""
+    c = B.calls(spark, d)
+    one = c.orderBy("repo_id", "caller_path", "caller").select("repo_id", "caller_path", "caller").first()
+    return graph.function_context(c, *(one or ("", "", "")))
+
+
+@query("SELECT line_start, repo_id || ':func:' || path || ':' || name AS vector_id FROM {fn}")
+def k_vector_ids(spark, d):
+    """Identities of function vectors."""
+    return B.functions(spark, d).select("line_start", X.vector_id(F.col("repo_id"), "func", F.col("path"), F.col("name")).alias("vector_id"))
