@@ -23,6 +23,8 @@ from ..session import cut
 GROUPS, LARGE_SHARE = 32, 1 / 8
 #: Contexts whose space one task fills with small texts.
 SHARD_CONTEXTS = 20_000
+#: Small texts that one task places, however short they are.
+SHARD_TEXTS = 1_000_000
 
 
 def grouped(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +173,8 @@ def pack(sizes: DataFrame, capacity: int, shard_contexts: int = SHARD_CONTEXTS)
     Texts of no or unknown length get no context. Each row is a text of its own, also with a repeated or null key.
 
     The driver sees the histogram of lengths (at most ``capacity`` rows) and the count of contexts, nothing that grows
-    with the collection. A task fills about ``shard_contexts`` contexts.
+    with the collection. A task fills about ``shard_contexts`` contexts and places
+    at most about SHARD_TEXTS texts.
     """
     kind = sizes.schema["key"].dataType.simpleString()
     n = F.col("n")
@@ -182,7 +185,8 @@ def pack(sizes: DataFrame, capacity: int, shard_contexts: int = SHARD_CONTEXTS)
     of, sizes_of, members = grouped(histogram, capacity)
     table, contexts = slots(configurations(sizes_of, members, capacity), len(sizes_of))
     total = sum(s * c for s, c in histogram.items())
-    shards = max(1, -(-max(contexts, -(-total // capacity)) // shard_contexts))
+    few = sum(c for n, c in histogram.items() if of[n] < 0)
+    shards = max(1, -(-max(contexts, -(-total // capacity)) // shard_contexts), -(-few // SHARD_TEXTS))
     ranked = cut(pieces.mapInArrow(_ranking(of), f"key {kind}, piece int, start long, size long, g long, part long, rank long"))
     large = ranked.where("g >= 0")
     w = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
