@@ -26,7 +26,9 @@ from ..session import cut
 COUNT_BITS = 17
 #: Words looked at for correlation, and words in one correlated part.
 FREQUENT, PART_WORDS = 48, 4
-_KEYS = "key long, cls long, n int"
+_KEYS = "key long, cls long, mark long"
+#: Bits of a set's parity signature; the rest of a mark holds its size up to LARGEST.
+SIGNATURE, LARGEST = 48, 32_767
 
 
 def tau(a: int, b: int, t: float) -> int:
@@ -101,15 +103,18 @@ class _Prober:
 
     def emit(self, cls: np.ndarray, offsets: np.ndarray, flat: np.ndarray, asking: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         size = np.diff(offsets)
+        sums = np.zeros(len(size), np.int64)
+        np.bitwise_xor.at(sums, np.repeat(np.arange(len(size)), size), np.int64(1) << (_mix(flat.view(np.uint64) + np.uint64(0x1234567)) % np.uint64(SIGNATURE)).astype(np.int64))
+        mark = np.minimum(size, LARGEST).astype(np.int64) << SIGNATURE | sums
         asked = np.array([parts_of(int(s)) for s in size])
         # a set is found in the layouts of all sets that may ask for it: those from its size to size / t
         reach = np.array([parts_of(int(np.floor(s / self.t + 1e-9))) for s in size])
         for m in sorted(set(asked) | set(reach)):
             rows = np.flatnonzero(asked == m if asking else (asked <= m) & (reach >= m))
             if len(rows):
-                yield from self._layout(int(m), rows, asking, cls, offsets, flat, size)
+                yield from self._layout(int(m), rows, asking, cls, offsets, flat, size, mark)
 
-    def _layout(self, m, rows, asking, cls, offsets, flat, size):
+    def _layout(self, m, rows, asking, cls, offsets, flat, size, mark):
         parts = self.groups + m
         take = np.concatenate([np.arange(offsets[r], offsets[r + 1]) for r in rows])
         own = np.repeat(np.arange(len(rows)), size[rows])
@@ -137,12 +142,12 @@ class _Prober:
         ids = cls[rows]
         if not asking:
             some = np.flatnonzero(held)
-            yield key(total[some], some % parts, 0), ids[some // parts], size[rows][some // parts]
+            yield key(total[some], some % parts, 0), ids[some // parts], mark[rows][some // parts]
             for c in np.flatnonzero(held >= 3).tolist():  # with d left out a cell of 2d + 1 words or more may be asked for
                 p, r = np.array([c % parts]), c // parts
                 for d in range(1, (int(held[c]) - 1) // 2 + 1):
                     got = key(np.array(left(c, d), np.uint64), p, d)
-                    yield got, np.repeat(ids[r], len(got)), np.repeat(size[rows[r]], len(got))
+                    yield got, np.repeat(ids[r], len(got)), np.repeat(mark[rows[r]], len(got))
             return
         need = np.array([1 + max(tau(int(s), b, self.t) for b in range(max(1, int(np.ceil(self.t * s - 1e-9))), int(s) + 1)) for s in size[rows].tolist()])
         h2 = held.reshape(len(rows), parts)
@@ -178,7 +183,7 @@ class _Prober:
             p, who = hit[src, 1], rows[hit[src, 0]]
             for dx in range(int(lim.max(initial=-1)) + 1):  # d words left out here and dx there
                 ok = lim >= dx
-                yield key(sums[ok], p[ok], dx), cls[who[ok]], size[who[ok]]
+                yield key(sums[ok], p[ok], dx), cls[who[ok]], mark[who[ok]]
 
 
 def _probing(prober_args: tuple, asking: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -191,7 +196,7 @@ def _probing(prober_args: tuple, asking: bool) -> Callable[[Iterator[pa.RecordBa
             out = list(prober.emit(b.column("cls").to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(), asking))
             if out:
                 cols = [np.concatenate(x) for x in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32))], ["key", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2])], ["key", "cls", "mark"])
 
     return run
 
@@ -245,16 +250,20 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
         frequent = [r["w"] for r in top.orderBy(F.desc("count"), "w").limit(FREQUENT).collect()]
     number, groups = _correlated_parts(sets, frequent)
     args = (t, counts.astype(np.float32), total, number, groups)
-    asks = sets.mapInArrow(_probing(args, True), _KEYS).select("key", F.col("cls").alias("a"), F.col("n").alias("na"))
-    has = sets.mapInArrow(_probing(args, False), _KEYS).select("key", F.col("cls").alias("b"), F.col("n").alias("nb"))
-    fits = (F.col("nb") >= F.col("na") * t - 1e-9) & ((F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a"))))
-    met = asks.join(has, "key").where(fits).select("a", "b").repartition("a").dropDuplicates(["a", "b"])
+    asks = sets.mapInArrow(_probing(args, True), _KEYS).select("key", F.col("cls").alias("a"), F.col("mark").alias("ma"))
+    has = sets.mapInArrow(_probing(args, False), _KEYS).select("key", F.col("cls").alias("b"), F.col("mark").alias("mb"))
+    na, nb = F.shiftright("ma", SIGNATURE), F.shiftright("mb", SIGNATURE)
+    smaller = (nb >= na * t - 1e-9) & ((nb < na) | ((nb == na) & ((F.col("b") < F.col("a")) | (na == LARGEST))))
+    # parities of word counts differ in no more places than the sets; very large sets go on to the verification
+    differ = F.bit_count(F.col("ma").bitwiseXOR(F.col("mb")).bitwiseAND(F.lit((1 << SIGNATURE) - 1)))
+    near = (na == LARGEST) | (nb == LARGEST) | (differ <= na + nb - 2 * F.ceil((na + nb) * (t / (1 + t)) - 1e-6))
+    met = asks.join(has, "key").where(smaller & near & (F.col("a") != F.col("b"))).select("a", "b").repartition("a").dropDuplicates(["a", "b"])
     left = sets.select(F.col("cls").alias("a"), F.col("words").alias("wa"))
     right = sets.select(F.col("cls").alias("b"), F.col("words").alias("wb"))
     both = met.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("wa", "wb"))
     similar = both.where(common >= (F.size("wa") + F.size("wb") - common) * t - 1e-9)
-    return similar.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return similar.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(records: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
