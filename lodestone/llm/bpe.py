@@ -47,6 +47,7 @@ class TrieEncoder:
         self.longest = max(map(len, ranks))
         self.single: dict[int, bool] = {}
         self.follows: dict[int, bool] = {}
+        self.history: dict[int, tuple] = {}
         self.unicode, self.ascii = regex.compile(PATTERN), re.compile(ASCII_PATTERN)
         self.forget()
 
@@ -69,13 +70,48 @@ class TrieEncoder:
             self.single[t] = self.merged(self.tokens[t]) == [t]
         return self.single[t]
 
+    def edges(self, t: int) -> tuple[list[tuple[bytes, int, int]], list[tuple[bytes, int, int]]]:
+        """What stands at the left and at the right edge of a token while its own merges go on: (part, rank of the merge
+        that makes it, rank of the merge that takes it up)."""
+        got = self.history.get(t)
+        if got is None:
+            text = self.tokens[t]
+            parts, left, right, end = [text[i : i + 1] for i in range(len(text))], [], [], 1 << 30
+            l_since = r_since = -1
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get(parts[i] + parts[i + 1], end), i) for i in range(len(parts) - 1))
+                if rank == end:
+                    break
+                if at == 0:
+                    left.append((parts[0], l_since, rank))
+                    l_since = rank
+                if at == len(parts) - 2:
+                    right.append((parts[-1], r_since, rank))
+                    r_since = rank
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            got = self.history[t] = ([*left, (parts[0], l_since, end)], [*right, (parts[-1], r_since, end)])
+        return got
+
     def may_follow(self, a: int, b: int) -> bool:
+        """Whether the merges leave a border between two tokens: no parts that meet there are merged while both exist.
+
+        Of merges of one rank the one further left comes first: one inside ``a`` before, one inside ``b`` after.
+        """
         k = a << 20 | b
         ok = self.follows.get(k)
         if ok is None:
             if len(self.follows) > 2_000_000:
                 self.follows.clear()
-            ok = self.follows[k] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+            ok, get = self.stands(a) and self.stands(b), self.ranks.get
+            for x, x0, x1 in self.edges(a)[1] if ok else ():
+                for y, y0, y1 in self.edges(b)[0]:
+                    r = get(x + y)
+                    if r is not None and x0 < r < x1 and y0 < r <= y1:
+                        ok = False
+                        break
+                if not ok:
+                    break
+            self.follows[k] = ok
         return ok
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:

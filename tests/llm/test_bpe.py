@@ -48,6 +48,16 @@ def test_any_text(encoder, reference, text):
     assert ids(encoder, text) == reference(text)
 
 
+def test_borders_equal_the_merges(encoder):
+    rng = random.Random(2)
+    ranks = sorted(encoder.tokens)
+    short = [t for t in ranks if len(encoder.tokens[t]) <= 3][:3000]
+    same = [encoder.ranks[c * n] for c in (b"a", b" ", b"=", b"-", b"0") for n in range(1, 9) if c * n in encoder.ranks]
+    pairs = [(rng.choice(ranks), rng.choice(ranks)) for _ in range(3000)] + [(rng.choice(short), rng.choice(short)) for _ in range(20000)] + [(a, b) for a in same for b in same]
+    for a, b in pairs:
+        assert encoder.may_follow(a, b) == (encoder.merged(encoder.tokens[a] + encoder.tokens[b]) == [a, b]), (encoder.tokens[a], encoder.tokens[b])
+
+
 def test_words_sharing_prefixes(encoder, reference):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 25))) for _ in range(400)]
