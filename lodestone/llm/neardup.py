@@ -269,8 +269,8 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
 def classes(records: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members: key, cls; sets: cls, words) of the records that have words; equal word sets are one class."""
     rows = records.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), word_set(F.col(text)).alias("words")).where(F.col("words").isNotNull())
-    rows = cut(rows.withColumn("cls", F.xxhash64("words")))
-    return rows.select("key", "cls").distinct(), cut(rows.select("cls", "words").dropDuplicates(["cls"]))
+    rows = rows.withColumn("cls", F.xxhash64("words"))
+    return cut(rows.select("key", "cls").distinct()), cut(rows.select("cls", "words").dropDuplicates(["cls"]))
 
 
 def similar_records(records: DataFrame, key: str, text: str, t: float) -> DataFrame:
