@@ -83,4 +83,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p6_found, p6_redacted, p7_ids, p8_contexts, p8_fill, p9_found)}
 
-SQL: dict[str, str] = {}
+_SETS = " UNION ALL ".join(
+    f"SELECT '{t}' AS t, k, w FROM (SELECT DISTINCT {k} AS k, list_sort(list_distinct(list_transform(regexp_extract_all(signature, '[A-Za-z0-9]+'), lambda x: lower(x)))) AS w FROM {t} WHERE signature IS NOT NULL) WHERE len(w) > 0" for t, k in _SIGNED
+)
+_PAIRS = f"""WITH s AS ({_SETS}), u AS (SELECT t, k, len(w) AS n, unnest(w) AS x FROM s),
+p AS (SELECT a.t, a.k AS a, b.k AS b FROM u a JOIN u b ON a.t = b.t AND a.x = b.x AND a.k < b.k GROUP BY a.t, a.k, b.k, a.n, b.n HAVING count(*) * 10 >= 6 * (a.n + b.n - count(*)))"""
+
+SQL: dict[str, str] = {
+    "p3_found": _PAIRS + " SELECT t AS table_name, a AS a_key, b AS b_key FROM p",
+    "p3_classes": _PAIRS
+    + """, c AS (SELECT t, w, min(k) AS class_key FROM s GROUP BY ALL), l AS (SELECT t, k, count(*) AS n FROM (SELECT t, a AS k FROM p UNION ALL SELECT t, b FROM p) GROUP BY ALL)
+SELECT s.t AS table_name, s.k AS row_key, class_key, coalesce(l.n, 0) AS n_links FROM s JOIN c ON c.t = s.t AND c.w = s.w LEFT JOIN l ON l.t = s.t AND l.k = s.k""",
+}
