@@ -5,7 +5,8 @@
 2. A value with many owners is a placeholder that is copied around and is suppressed; a rare one is confirmed.
 3. Every text is scanned again for the confirmed values, wherever they stand, with an automaton. A text gets only the
    values whose longest run of letters and digits occurs in it (matched by hash, behind a filter of fixed size), so no
-   task and no broadcast holds the secrets of the whole corpus.
+   task and no broadcast holds the secrets of the whole corpus. Values without such a run are matched by four of their
+   characters in the same way.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ from ..session import cut
 
 #: A value that more owners than this have in common is a placeholder.
 MOST_OWNERS = 5
-#: Buckets of the filter over anchors that tasks get: a fixed 128 KB.
+#: Buckets of each filter over anchors that tasks get: a fixed 128 KB.
 FILTER_BITS = 20
+#: Characters by which a value without an anchor is matched, and characters of a text that are hashed at once.
+GRAM, GRAM_BLOCK = 4, 1 << 18
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 MASK = "[REDACTED]"
 
 # fixed values: published formats of access tokens
@@ -81,6 +85,14 @@ def plausible_password(v: str) -> bool:
     return bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) or (bool(re.search("[a-z]", v)) and bool(re.search(r"[A-Z]", v[1:])) and len(v) >= 6) or _varied(v) >= 3
 
 
+def searched(v: str) -> bool:
+    """Whether a confirmed value is looked for everywhere: all but whole keys, which are found by their frame, and short
+    plain words ("pass" in an address) and scraps of joined literals, which mean nothing elsewhere."""
+    if v.startswith("key:") or len(v) < GRAM:
+        return False
+    return len(v) >= 6 or bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) or _varied(v) >= 3
+
+
 def plausible_token(v: str, generic: bool) -> bool:
     """A literal that can be a token or key; under a generic name ("...Key") only if it looks random."""
     if not plausible_password(v) or "://" in v:
@@ -198,11 +210,16 @@ def literals(text: str) -> list[tuple[int, int, str]]:
 
 
 def redact(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text with the spans replaced. A span over several lines keeps its line breaks and each line's margin."""
-    out, at = [], 0
+    """The text with the spans replaced, overlapping ones as one. A span over several lines keeps its line breaks and
+    each line's margin."""
+    whole: list[tuple[int, int]] = []
     for s, e in sorted(spans):
-        if s < at:
-            continue
+        if whole and s < whole[-1][1]:
+            whole[-1] = (whole[-1][0], max(e, whole[-1][1]))
+        else:
+            whole.append((s, e))
+    out, at = [], 0
+    for s, e in whole:
         lines = text[s:e].split("\n")
         masked = [MASK]
         for x in lines[1:]:
@@ -255,6 +272,23 @@ def _anchor(value: Column) -> Column:
     return F.get(F.array_sort(_runs(value), lambda a, b: weight(b) - weight(a)), F.lit(0))
 
 
+def _hashes(text: str) -> Iterator[np.ndarray]:
+    """Hashes of all runs of GRAM characters, block by block."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for at in range(0, len(codes) - GRAM + 1, GRAM_BLOCK):
+        c = codes[at : at + GRAM_BLOCK + GRAM - 1].astype(np.uint64)
+        h = np.zeros(len(c) - GRAM + 1, np.uint64)
+        for k in range(GRAM):
+            h = (h + c[k : k + len(h)]) * _MIX
+        yield h
+
+
+def _gram(value: str) -> int:
+    """Hash of the run of GRAM characters with the most letters and digits, then with the most different ones."""
+    runs = [value[i : i + GRAM] for i in range(len(value) - GRAM + 1)]
+    return int(next(_hashes(max(runs, key=lambda r: (len(EDGE.findall(r)), len(set(r)))))).view(np.int64)[0])
+
+
 def _rescan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
@@ -280,23 +314,49 @@ def credentials(texts: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     found = cut(kept.mapInArrow(_scan, _FOUND))
     rare = found.groupBy("value").agg(F.count_distinct("owner").alias("owners")).where(F.col("owners") <= most_owners).select("value")
     sure = found.join(rare, "value")
-    confirmed = cut(rare.where(~F.col("value").startswith("key:")).select("value", _anchor(F.col("value")).alias("anchor")).where(F.length("value") >= 6).where("anchor is not null").select("value", F.xxhash64("anchor").alias("h")))
-    bucket = F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int")
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for r in confirmed.select(bucket.alias("k")).distinct().toLocalIterator():  # at most 2**FILTER_BITS rows
-        bits[r["k"]] = True
-    packed = kept.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    @F.pandas_udf("boolean")
+    def wanted(values):
+        return values.map(searched)
+
+    @F.pandas_udf("bigint")
+    def gram(values):
+        return values.map(_gram)
+
+    values = cut(rare.where(wanted("value")).select("value", _anchor(F.col("value")).alias("anchor")))
+    confirmed = values.where("anchor is not null").select("value", F.xxhash64("anchor").alias("h"))
+    bare = values.where("anchor is null").select("value", gram("value").alias("h"))
+
+    def filtered(keys: DataFrame):
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for r in keys.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int").alias("k")).distinct().toLocalIterator():  # at most 2**FILTER_BITS rows
+            bits[r["k"]] = True
+        return kept.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    packed, packed_grams = filtered(confirmed), filtered(bare)
 
     @F.pandas_udf("array<bigint>")
     def passing(hashes):
         known = np.unpackbits(packed.value).astype(bool)
         return hashes.map(lambda x: [int(h) for h in x if known[(int(h) % (1 << 64)) >> (64 - FILTER_BITS)]])
 
-    hashed = kept.select("table_name", "row_id", "text_id", F.transform(_runs(F.col("text")), lambda w: F.xxhash64(w)).alias("hs"))
-    asked = hashed.select("table_name", "row_id", "text_id", F.explode(passing("hs")).alias("h"))
-    routed = asked.join(confirmed, "h").groupBy("table_name", "row_id", "text_id").agg(F.collect_set("value").alias("values"))
-    # the values of one text: no more than it has runs
-    again = kept.dropDuplicates(["table_name", "row_id", "text_id"]).join(routed, ["table_name", "row_id", "text_id"]).select("table_name", "row_id", "text_id", "text", "values")
+    def passing_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(packed_grams.value).astype(bool)
+        for b in batches:
+            got = [np.unique(np.concatenate([h[known[h >> np.uint64(64 - FILTER_BITS)]] for h in _hashes(t)] or [np.zeros(0, np.uint64)])) for t in b.column("text").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(got)), [len(h) for h in got]), pa.int64())
+            if len(at):
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keys), pa.array(np.concatenate(got).view(np.int64), pa.int64())], [*keys, "h"])
+
+    keys = ["table_name", "row_id", "text_id"]
+    hashed = kept.select(*keys, F.transform(_runs(F.col("text")), lambda w: F.xxhash64(w)).alias("hs"))
+    asked = hashed.select(*keys, F.explode(passing("hs")).alias("h")).join(confirmed, "h")
+    if packed_grams.value.any():
+        by_gram = kept.select(*keys, "text").mapInArrow(passing_grams, "table_name string, row_id long, text_id long, h long")
+        asked = asked.unionByName(by_gram.join(bare, "h"))
+    routed = asked.groupBy(*keys).agg(F.collect_set("value").alias("values"))
+    # the values of one text: those of which it has an anchor or a run of GRAM characters
+    again = kept.dropDuplicates(keys).join(routed, keys).select(*keys, "text", "values")
     hits = again.mapInArrow(_rescan, _HITS)
     cols = ["table_name", "row_id", "text_id", "line_no", "s", "e"]
     return sure.select(*cols).unionByName(hits.select(*cols)).distinct()

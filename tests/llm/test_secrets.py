@@ -56,3 +56,18 @@ def test_frames(spark):
     assert out["a", 3] == (None, 0) and out["a", 4] == ("", 0) and out["a", 1][0] == "+token = \"[REDACTED]\"\n+plain line"
     assert out["a", 2][0] == f"seen again: [REDACTED], here\nand x{secret}x not" and len(out) == 14
     assert credentials(texts.limit(0)).count() == 0
+
+
+def test_values_without_a_run_are_searched(spark):
+    values = ["k9#-Xq2!vB7", "aB3$x", "ab12c", "7é-Ü!q9"]
+    data = [("a", i, "r1", f"+password: {v}") for i, v in enumerate(values)] + [("b", i, "r2", f"plain\n# it was {v}, once; x{v}x") for i, v in enumerate(values)]
+    data += [("a", 8, "r1", "+postgres://app:pass@db:5432/x"), ("b", 8, "r2", "a pass of the tests"), ("c", 9, "r3", "k9#-Xq2 vB7 aB3 x ab12")]
+    texts = spark.createDataFrame(data, "table_name string, row_id long, owner string, text string")
+    found = credentials(texts)
+    assert rows(found.where("table_name <> 'a'").select("table_name", "row_id", "line_no")) == [("b", i, 2) for i in range(4)]
+    out = {r["row_id"]: r["text"] for r in redacted(texts, found).where("table_name = 'b'").collect()}
+    assert all(out[i] == f"plain\n# it was [REDACTED], once; x{v}x" for i, v in enumerate(values)) and out[8] == "a pass of the tests"
+
+
+def test_overlapping_spans_are_redacted_whole():
+    assert redact("x ab1#c-9x y", [(2, 7), (2, 10), (6, 10)]) == "x [REDACTED] y"
