@@ -2,7 +2,8 @@
 
 1. Every text is scanned for literals in credential positions (known formats, URLs, headers, assignments, flags, login
    lines, private keys); the literals of the whole corpus are indexed by value with the number of their owners.
-2. A value with many owners is a placeholder that is copied around and is suppressed; a rare one is confirmed.
+2. A value with many owners is a placeholder that is copied around and is suppressed, unless it proves itself (whole
+   keys, token formats, random strings); such a value and a rare one are confirmed.
 3. Every text is scanned again for the confirmed values, wherever they stand, with an automaton. A text gets only the
    values whose longest run of letters and digits occurs in it (matched by hash, behind a filter of fixed size), so no
    task and no broadcast holds the secrets of the whole corpus. Values without such a run are matched by four of their
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: A value that more owners than this have in common is a placeholder.
-MOST_OWNERS = 5
+#: A weak value that more owners than this have in common, and more than this share of all, is a placeholder.
+MOST_OWNERS, OWNER_SHARE = 5, 1 / 12
 #: Buckets of each filter over anchors that tasks get: a fixed 128 KB.
 FILTER_BITS = 20
 #: Characters by which a value without an anchor is matched, and characters of a text that are hashed at once.
@@ -85,6 +86,16 @@ def plausible_password(v: str) -> bool:
     return bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) or (bool(re.search("[a-z]", v)) and bool(re.search(r"[A-Z]", v[1:])) and len(v) >= 6) or _varied(v) >= 3
 
 
+def proven(v: str) -> bool:
+    """Whether a value is a credential by itself, however many hold it: a whole key, a token format or a random string.
+    Documented samples, series like 0123456789abcdef and repeated characters aren't."""
+    if v.startswith("key:"):
+        return not NOT_LITERAL.search(v[4:])
+    if NOT_LITERAL.search(v) or entropy(v) < 3.0 or sum(abs(ord(a) - ord(b)) == 1 for a, b in zip(v, v[1:])) * 2 > len(v):
+        return False
+    return bool(FORMATS.fullmatch(v)) or len(v) >= 20 and entropy(v) >= 3.3 and plausible_token(v, True)
+
+
 def searched(v: str) -> bool:
     """Whether a confirmed value is looked for everywhere: all but whole keys, which are found by their frame, and short
     plain words ("pass" in an address) and scraps of joined literals, which mean nothing elsewhere."""
@@ -312,7 +323,14 @@ def credentials(texts: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     kept = texts.where(F.col("text").isNotNull() & (F.col("text") != ""))
     kept = kept.select("table_name", "row_id", F.coalesce("owner", F.lit("")).alias("owner"), "text", F.xxhash64("text").alias("text_id"))
     found = cut(kept.mapInArrow(_scan, _FOUND))
-    rare = found.groupBy("value").agg(F.count_distinct("owner").alias("owners")).where(F.col("owners") <= most_owners).select("value")
+    most = max(most_owners, int(kept.select("owner").distinct().count() * OWNER_SHARE))
+
+    @F.pandas_udf("boolean")
+    def proves(values):
+        return values.map(proven)
+
+    held = found.groupBy("value").agg(F.count_distinct("owner").alias("owners"))
+    rare = held.where((F.col("owners") <= most) | proves("value")).select("value")
     sure = found.join(rare, "value")
 
     @F.pandas_udf("boolean")
