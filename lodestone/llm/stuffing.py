@@ -3,8 +3,8 @@
 A text is cut into segments (sentences within lines). Each is put down as solid (sentences, code, logs, values) or as
 loose: words without the function words that sentences of any language need. Loose words are then analysed in their
 order: the gaps after which terms recur, and the autocorrelation of the term sequence within a window of lags. Loose
-words that recur at short or regular gaps, links, and long lists of distinct nouns are stuffing; a page is spam if
-they outweigh everything else.
+words that recur at short or regular gaps, links, and long lists of nouns, of which the share of distinct terms is high
+in each stretch, are stuffing; a page is spam if they outweigh everything else.
 """
 
 from __future__ import annotations
@@ -64,8 +64,9 @@ EDGES = ".,;:!?()[]{}<>\"'`*_|-#"
 LEAST_WORDS = 25
 #: Lags over which the term sequence is compared with itself, and gaps that count as recurrence.
 LAGS, NEAR = 12, 40
-#: Loose words are stuffing if so large a share recurs, at so high an autocorrelation, or if they are so many.
-RECURRING, REGULAR, LONG_LIST = 0.3, 0.1, 50
+#: Loose words are stuffing if so large a share recurs, at so high an autocorrelation, or if they are a list: in windows
+#: of so many words, which shorter ones don't fill, so large a share of the terms is distinct.
+RECURRING, REGULAR, LONG_LIST, DISTINCT = 0.3, 0.1, 50, 0.75
 LINK_WORDS = 3
 #: Words with a larger share of function words are sentences, however few terms they repeat.
 SPRINKLED = 0.425
@@ -123,6 +124,16 @@ def recurrence(terms: list[str]) -> tuple[np.ndarray, float]:
     return near, (peak - chance) / (1 - chance) if chance < 1 else 1.0
 
 
+def distinct_share(terms: list[str]) -> float:
+    """Mean share of distinct terms in windows of LONG_LIST places, the last one ending with the terms, so that it does
+    not fall with their number; 0 for terms that do not fill a window."""
+    last = len(terms) - LONG_LIST
+    if last < 0:
+        return 0.0
+    starts = [*range(0, last, LONG_LIST), last]
+    return sum(len(set(terms[i : i + LONG_LIST])) for i in starts) / (LONG_LIST * len(starts))
+
+
 def _barred(function_words: list[list[str]]) -> set[str]:
     """A function word that makes up most of a text's function words is a keyword there."""
     counts = Counter(w for ws in function_words for w in ws)
@@ -218,7 +229,7 @@ def stuffing(text: str | None) -> tuple[int, int]:
                 loose += [w.strip(EDGES) for w in some]
     near, auto = recurrence(loose)
     stuffed = int(near.sum())
-    if len(loose) >= LONG_LIST or auto > REGULAR or stuffed > RECURRING * len(loose):
+    if auto > REGULAR or stuffed > RECURRING * len(loose) or distinct_share(loose) >= DISTINCT:
         stuffed = len(loose)
     # a link stands for a few words of its own
     stuffed += LINK_WORDS * links if stuffed or links >= 8 else 0

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from conftest import rows
-from lodestone.llm.stuffing import is_stuffed, recurrence, stuffed_pages
+from lodestone.llm.stuffing import DISTINCT, RECURRING, REGULAR, distinct_share, is_stuffed, recurrence, stuffed_pages, stuffing
 
 rng = random.Random(1)
 NOUNS = "shelf deal locale outline ward top ledger depot cheap free online download".split()
@@ -49,3 +49,16 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, SPAM["words"]), (1, SPAM["words"]), (2, PROSE), (3, None), (4, ""), (5, "a " * 3), (None, SPAM["links"])], "doc_id long, text string").selectExpr("*", "0 AS key")
     assert rows(stuffed_pages(df, "doc_id", "text")) == [(None,), (1,), (1,)]
     assert stuffed_pages(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("n", [100, 400])
+def test_long_fragments_are_measured(n):
+    own = random.Random(3)
+    topic = set(own.sample(range(n), n * 28 // 100))  # one topic at irregular gaps among words that do not return
+    terms = ["fix" if i in topic else "".join(own.choices("bcdfglmnprst", k=9)) for i in range(n)]
+    near, auto = recurrence(terms)
+    assert near.mean() <= RECURRING and auto <= REGULAR and distinct_share(terms) < DISTINCT
+    assert stuffing(" ".join(terms))[0] < n and not is_stuffed(" ".join(terms))
+    nouns = ["".join(own.choices("bcdfglmnprst", k=9)) for _ in range(n)]
+    assert distinct_share(nouns) == 1 and distinct_share(nouns * 5) == 1 and distinct_share(nouns[:49]) == 0
+    assert is_stuffed(" ".join(nouns)) and is_stuffed(" ".join(nouns * 5))
