@@ -64,7 +64,7 @@ NOT_LITERAL = re.compile(
     r".*(?:redacted|change[-_ ]?me|placeholder|example|your[-_ ]|dummy|fake[-_]|todo[-_:]|insert[-_ ]|replace[-_ ]me|getenv|environ|process\.env|vault[:/.]|secretsmanager|arn:|ref\+|op://))"
 )
 #: Names in camel or snake case, which only look random.
-NAMELIKE = re.compile(r"(?:[A-Z]?[a-z]{3,}|[A-Z]{2,})+|[a-z]+(?:[_.-][a-z]+)+")
+NAMELIKE = re.compile(r"(?:[A-Z]?[a-z]{3,}+|[A-Z]{2,}+)+|[a-z]+(?:[_.-][a-z]+)+")
 REFERENCE = re.compile(r"^[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)*(?:\(.*|\[.*)$|^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+$")
 EDGE = re.compile(r"[A-Za-z0-9]")
 
@@ -81,7 +81,7 @@ def _varied(v: str) -> int:
 
 def plausible_password(v: str) -> bool:
     """A literal that can be a password: no reference, no placeholder, no plain word."""
-    if not 5 <= len(v) <= 200 or re.search(r"\s", v) or NOT_LITERAL.search(v) or len(set(v)) < 4:
+    if len(v) < 5 or re.search(r"\s", v) or NOT_LITERAL.search(v) or len(set(v)) < 4:
         return False
     return bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) or (bool(re.search("[a-z]", v)) and bool(re.search(r"[A-Z]", v[1:])) and len(v) >= 6) or _varied(v) >= 3
 

@@ -1,5 +1,8 @@
 """Credentials: what counts, what does not, where, and redaction that keeps everything else."""
 
+import random
+import time
+
 import pytest
 
 from conftest import rows
@@ -88,3 +91,20 @@ def test_widely_held_values(spark):
 @pytest.mark.parametrize("v", ["ghp_" + "x" * 30, "abcdefghijklmnopqrstuvwxyz012345", "layout-panel-index-region37", "Keen_1420tenant"])
 def test_not_proven(v):
     assert not proven(v)
+
+
+LONG = {n: "".join(random.Random(n).choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=n)) for n in (201, 256, 5000)}
+
+
+@pytest.mark.parametrize("n", LONG)
+@pytest.mark.parametrize("line", ["+api_token = \"{}\"", "+password: '{}'", "+signingKey := \"{}\"", "+Authorization: Bearer {}", "+deploy --token={} --wait", "+conn = connect(\"db.x.test\", 'depot', '{}')", "+machine h login u password {}", "+const alertKey = \"{}\""])
+def test_long_values(n, line):
+    src = f"@@ -1 +1 @@\n{line.format(LONG[n])}\n context"
+    assert [v for _, _, v in literals(src)] == [LONG[n]]
+    assert redact(src, [(s, e) for s, e, _ in literals(src)]) == src.replace(LONG[n], "[REDACTED]")
+
+
+def test_long_names_take_one_pass():
+    began = time.time()
+    literals("+const cacheKey = \"" + "abcdefghijklmnopqrstuvwxyz" * 200 + "=\"")
+    assert time.time() - began < 2
