@@ -59,6 +59,9 @@ CODE = re.compile(
 )
 FENCE = re.compile(r"^\s*(?:```|~~~)")
 ZERO_WIDTH = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
+JOINED = re.compile(r"[,;|#/]+")
+#: A piece of a joined line that looks like a term: letters of one word, a compound or a camel case name.
+TERM = re.compile(r"[^\W\d_]{2,20}(?:[-_'’.][^\W\d_]{2,20}){0,3}")
 EDGES = ".,;:!?()[]{}<>\"'`*_|-#"
 #: A page with fewer loose words than this is a short note.
 LEAST_WORDS = 25
@@ -89,6 +92,21 @@ def words_of(text: str) -> list[str]:
     return out
 
 
+def joined_terms(line: str) -> list[str]:
+    """Terms of a line that joins them by one of , ; | # / without blanks; none if its pieces don't look like words.
+
+    Encoded bytes also hold slashes, but their pieces mix cases and digits; paths begin or end like paths.
+    """
+    pieces = [x for x in JOINED.split(line.strip()) if x]
+    if len(pieces) < 3:
+        return []
+    words = sum(bool(TERM.fullmatch(x)) and (x.islower() or x.isupper() or x.istitle() or len(CAMEL.split(x)) * 3 <= len(x)) for x in pieces)
+    only_path = not re.search(r"[,;|#]", line)
+    if words * 10 < 9 * len(pieces) or (only_path and (len(pieces) < 8 or re.match(r"[./~]", line))):
+        return []
+    return pieces
+
+
 def is_sentence(words: list[str], text: str, barred: frozenset[str] | set[str]) -> bool:
     """Whether a segment has the function words of a sentence; in Chinese and Japanese, unbroken runs with grammar."""
     fw = sum(w in FUNCTION_WORDS and w not in barred for w in words)
@@ -185,6 +203,12 @@ def stuffing(text: str | None) -> tuple[int, int]:
             fenced = not fenced
             continue
         marked = MARKED.search(line)
+        closed = line.rstrip().endswith(";") and not marked and not fenced and "://" not in line
+        if (n == 1 and len(line) >= 20 or closed) and not marked and not fenced and "://" not in line and not re.search(r"[=(){}\"$<>]", line):
+            pieces = joined_terms(re.sub(r"\s*([,;|#/])\s*", r"\1", line) if closed else line)
+            if pieces:
+                open_lines.append((" ".join(pieces), [x.lower() for x in pieces]))
+                continue
         if (n == 1 and len(line) >= 20 and not marked and "://" not in line and not CJK_RUN.search(line)) or LOG.match(line) or (not marked and CODE.search(line)) or (fenced and not marked and "://" not in line):
             solid += n
             coded += 1

@@ -62,3 +62,19 @@ def test_long_fragments_are_measured(n):
     nouns = ["".join(own.choices("bcdfglmnprst", k=9)) for _ in range(n)]
     assert distinct_share(nouns) == 1 and distinct_share(nouns * 5) == 1 and distinct_share(nouns[:49]) == 0
     assert is_stuffed(" ".join(nouns)) and is_stuffed(" ".join(nouns * 5))
+
+
+JOINED = {"commas": ",".join(some(90)), "tags": "#" + "#".join(some(90)), "bars": "|".join(some(90)), "slashes": "/".join(some(90)), "lines": "\n".join(",".join(some(6)) for _ in range(15)), "closed": "; ".join(some(90)) + ";", "tight": ";".join(some(90)) + ";", "closed lines": "\n".join(", ".join(some(6)) + ";" for _ in range(15))}
+
+
+@pytest.mark.parametrize("kind", JOINED)
+def test_words_joined_without_blanks(kind):
+    assert is_stuffed(JOINED[kind])
+
+
+def test_encoded_lines_and_paths_stay_solid():
+    own = random.Random(5)
+    blob = "\n".join("".join(own.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=76)) for _ in range(60))
+    paths = "\n".join(f"internal/{a}/{b}/{c}/store" for a, b, c in zip(some(60), some(60), some(60)))
+    code = "\n".join(f"{a}->{b}({c});" for a, b, c in zip(some(60), some(60), some(60)))
+    assert stuffing(blob)[0] == stuffing(paths)[0] == stuffing(code)[0] == 0
