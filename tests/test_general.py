@@ -37,11 +37,47 @@ def test_first_k_empty_and_null_order(spark):
     assert [r["id"] for r in first_k_per_key(df, "k", ["t", "id"], 1).collect()] == [1]
 
 
-def test_first_k_hot_key_and_partial_limit(spark):
-    df = spark.range(50_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 1000)).alias("k"), (50_000 - F.col("id")).alias("t"), "id").repartition(8)
-    out = first_k_per_key(df, "k", ["t", "id"], 3)
-    assert out._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2  # before and after the exchange
-    assert sorted(r["id"] for r in out.where("k = 'hot'").collect()) == [49_992, 49_995, 49_998]
+def shuffled_rows(df):
+    """Rows written to shuffles while the frame is computed."""
+    jvm = df.sparkSession._jvm
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+            continue
+        if p.getClass().getSimpleName() == "ShuffleQueryStageExec":
+            todo.append(p.plan())
+            continue
+        if p.getClass().getSimpleName() == "ShuffleExchangeExec":
+            total += p.metrics().apply("shuffleRecordsWritten").value()
+        todo += list(jvm.scala.jdk.javaapi.CollectionConverters.asJava(p.children()))
+    return total
+
+
+@pytest.mark.parametrize("k", [3, 1001])
+def test_first_k_of_a_record_delivered_a_million_times(spark, k):
+    hot = spark.range(0, 1_000_000, 1, 8).select(F.lit("hot").alias("k"), F.lit(5).alias("t"), F.lit(1).alias("id"))
+    many = spark.range(0, 200_000, 1, 8).select(F.lit("wide").alias("k"), F.lit(5).alias("t"), F.col("id").cast("int").alias("id"))
+    out = first_k_per_key(hot.unionByName(many), "k", ["t", "id"], k)
+    assert shuffled_rows(out) <= 8 + 8 * k
+    assert rows(out.groupBy("k").count()) == [("hot", 1), ("wide", k)] and out.where("k = 'wide'").agg(F.max("id")).first()[0] == k - 1
+
+
+def test_first_k_spills_and_merges(spark):
+    df = spark.range(0, 50_000, 1, 4).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 1000)).alias("k"), F.when(F.col("id") % 7 > 0, (50_000 - F.col("id")) % 4000 / 10.0).alias("t"), (F.col("id") % 11 > 5).alias("b"), "id")
+    df = df.unionByName(df.limit(10_000))
+    got = first_k_per_key(df, "k", ["t", "b", "id"], 5, table_states=300)
+    from pyspark.sql import Window
+
+    want = df.distinct().withColumn("position", F.row_number().over(Window.partitionBy("k").orderBy("t", "b", "id"))).where("position <= 5").select("k", "t", "b", "id", "position")
+    assert rows(got) == rows(want)
+
+
+def test_first_k_orders_nan_last(spark):
+    df = spark.createDataFrame([("a", float("nan"), 1), ("a", 2.0, 2), ("a", None, 3), ("a", float("inf"), 4), ("a", float("nan"), 1)], "k string, t double, id long")
+    assert [r["id"] for r in first_k_per_key(df, "k", ["t", "id"], 9).orderBy("position").collect()] == [3, 2, 4, 1]
 
 
 def test_key_profile(spark):
