@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from conftest import rows
 from lodestone.operators.firsts import first_k_per_key, key_profile
 from lodestone.operators.hierarchy import descendants, hierarchy, peel, primary_callers
-from lodestone.operators.orphans import _Intervals, bare_callee, code_references, orphan_references
-from lodestone.operators.snapshots import same_commit, snapshot_changes
+from lodestone.operators.orphans import _Intervals, bare_callee, code_references, merged_intervals, orphan_references, ranged_rows
+from lodestone.operators.snapshots import SnapshotStore, delivered_sequence, merge_changes, same_commit, snapshot_changes, snapshot_records
 
 T0 = dt.datetime(2025, 1, 1)
 
@@ -173,11 +173,30 @@ def test_orphans_split_ranges(spark, per_task):
     parents = spark.createDataFrame([("k1", at(10), at(20)), ("k1", at(30), None), ("k2", at(0), None), (None, at(0), None), ("k3", None, None)], "key string, since timestamp, until timestamp")
     data = [("t", "k1", at(i), i, "k1") for i in range(40)] + [("t", "k2", at(5), 100, "k2"), ("t", "k3", at(5), 101, "k3"), ("t", None, at(5), 102, "x"), ("t", "k1", None, 103, "x"), ("t", "k1", at(1), 1, "k1")]
     refs = spark.createDataFrame(data, "table_name string, key string, at timestamp, row_id long, target_id string")
-    got = rows(orphan_references(refs, parents, rows_per_task=per_task).select("row_id", "period", "target_id"))
+    got = rows(orphan_references(refs, parents, task_refs=per_task).select("row_id", "period", "target_id"))
     want = [(i, "2025-01", "k1") for i in range(40) if not (10 <= i < 20 or i >= 30)] + [(101, "2025-01", "k3")]
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("scale", [1, 10])
+def test_orphan_tasks_stay_bounded(spark, scale):
+    n = 6_000 * scale
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % (n // 4)))
+    refs = spark.range(n).select(F.lit("t").alias("table_name"), key.alias("key"), F.lit(at(5)).alias("at"), F.col("id").alias("row_id"), key.alias("target_id"))
+    parents = spark.range(n // 2).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"), F.lit(at(0)).alias("since"), F.when(F.col("id") % 2 == 1, F.lit(at(3))).otherwise(F.lit(at(9))).alias("until"))
+    laid = ranged_rows(refs, parents, task_refs=500, task_parents=500).groupBy(F.spark_partition_id().alias("p")).agg(F.sum("kind").alias("refs"), F.sum(1 - F.col("kind")).alias("parents")).collect()
+    assert sum(r["refs"] for r in laid) == n and max(r["refs"] for r in laid) < 1200 and max(r["parents"] for r in laid) < 1200
+    got = {r["row_id"] for r in orphan_references(refs, parents, task_refs=500, task_parents=500).collect()}
+    known = {f"k{i}" for i in range(n // 2) if i % 3 and i % 2 == 0}
+    assert got == {i for i in range(n) if i % 3 and f"k{i % (n // 4)}" not in known}
+
+
+def test_merged_intervals():
+    h = np.zeros(6, np.int64)
+    got = merged_intervals(np.array([1, 1, 1, 1, 2, 2]), h, np.array([0, 2, 9, 0, 1, 1]), np.array([5, 7, 12, 5, 3, 3]))
+    assert [x.tolist() for x in got] == [[1, 1, 2], [0, 0, 0], [0, 9, 1], [7, 12, 3]]
+
+
 def test_orphans_of_empty_tables(spark):
     refs = spark.createDataFrame([("t", "k", at(1), 1, "k")], "table_name string, key string, at timestamp, row_id long, target_id string")
     none = spark.createDataFrame([], "key string, since timestamp, until timestamp")
@@ -219,6 +238,66 @@ def test_snapshot_changes(spark):
     }
 
 
+def naive_changes(versions):
+    """{key: {ord: value}}, {repo: [snapshot numbers]} to changes."""
+    keyed, delivered = versions
+    out = set()
+    for (kind, repo, item), v in keyed.items():
+        nos = delivered[repo]
+        for o in range(2, len(nos) + 1):
+            if o in v and o - 1 not in v:
+                out.add((kind, nos[o - 1], repo, item, "added"))
+            elif o not in v and o - 1 in v:
+                out.add((kind, nos[o - 1], repo, item, "removed"))
+            elif o in v and v[o] != v[o - 1]:
+                out.add((kind, nos[o - 1], repo, item, "changed"))
+    return out
+
+
+def test_merge_over_batches_matches_naive(spark):
+    rng = random.Random(9)
+    delivered = {f"r{i}": sorted(rng.sample(range(1, 9), rng.randint(1, 6))) for i in range(6)}
+    keyed, data = {}, []
+    for i in range(120):
+        repo = f"r{i % 6}"
+        nos = delivered[repo]
+        v = {o: rng.choice([b"a", b"b", None]) for o in range(1, len(nos) + 1) if rng.random() < 0.7}
+        keyed["file", repo, f"x{i}"] = v
+        for o, x in v.items():
+            nxt = nos[o] if o < len(nos) else None
+            for k in range(rng.choice([0, 0, 3])):  # earlier deliveries in the same snapshot
+                data.append(("file", repo, f"x{i}", o, nos[o - 1], nxt, b"old", at(k)))
+            data.append(("file", repo, f"x{i}", o, nos[o - 1], nxt, bytearray(x) if x else None, at(9)))
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "record_kind string, repo_id string, item string, ord int, snapshot_no int, next_no int, value binary, ingested_at timestamp")
+    try:
+        for size in ("1", "2", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert {tuple(r) for r in merge_changes(df, 3).collect()} == naive_changes((keyed, delivered))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_store_merges_kept_snapshots_without_exchange(spark, tmp_path):
+    f = lambda **kw: {k: (v, 1) for k, v in kw.items()}
+    repos = spark.createDataFrame(
+        [(1, "r", "AB", f(a="1", b="1"), at(1)), (2, "r", "ab0", f(a="2"), at(1)), (2, "s", "x", f(), at(1)), (3, "s", "y", f(q="1"), at(1)), (4, "r", "cd", f(c="9"), at(1)), (4, "s", "y", f(), at(1)), (4, "u", "z", f(n="1"), at(1))], _R
+    )
+    funcs = spark.createDataFrame([(1, "r", "a", "f", "x", at(0)), (2, "r", "a", "f", "y", at(0)), (2, "r", "a", "f", "x ", at(1)), (3, "s", "q", "g", None, at(0)), (4, "r", "c", "h", "x", at(0))], _S)
+    seq = delivered_sequence(repos)
+    records = snapshot_records(repos, funcs, seq).unionByName(seq.select(F.lit("repo").alias("record_kind"), "repo_id", F.lit("").alias("item"), "ord", "snapshot_no", "next_no", F.encode("commit_hash", "utf-8").alias("value"), "ingested_at"))
+    store, got = SnapshotStore(spark, str(tmp_path / "kept"), ranges=3), set()
+    for no in range(1, 5):
+        changes = store.deliver(no, records.where(F.col("snapshot_no") == no).withColumnRenamed("ingested_at", "at"))
+        got |= {tuple(r) for r in changes.collect()}
+        store = SnapshotStore(spark, str(tmp_path / "kept"), ranges=3)  # another session takes the state up
+        store.open(no)
+    assert got == {tuple(r) for r in snapshot_changes(repos, funcs).collect()}
+    plan = changes._jdf.queryExecution().executedPlan().toString()
+    main = plan.split("SortMergeJoin")[1]
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in main and "Sort [" not in main
+
+
 def test_snapshots_empty(spark):
     assert snapshot_changes(spark.createDataFrame([], _R), spark.createDataFrame([], _S)).count() == 0
 
