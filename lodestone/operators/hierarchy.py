@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, drop
 
 #: Nodes that one task peels at once; a larger locality group is split.
 BLOCK_NODES = 400_000
@@ -93,25 +93,28 @@ def _chains(tops: DataFrame) -> DataFrame:
 
     ``tops``: node, ptr (local top of the outside parent, null where the chain is known to end), chain (keys from that
     top to the parent, or ``cycle/...``), low (smallest key among them). A round doubles the length that each top has
-    walked, so the number of rounds is the logarithm of the links between blocks on the longest chain. Tops that still
-    walk after as many steps as there are tops run into a cycle; where they then stand lies on it.
+    walked, so the number of rounds is the logarithm of the links between blocks on the longest chain, and it reads and
+    writes only the tops that still walk. Finite chains have suffixes of every length: once a round ends none, all that
+    walk run into cycles; where they stand after as many steps as there are of them lies on the cycle.
     """
-    n, steps = tops.count(), 1
-    state = tops.select("node", "ptr", "low")
-    walking = True
-    while walking and steps <= n:
-        nxt = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("__p"), F.col("low").alias("__l"))
-        state = cut(state.join(nxt, "ptr", "left").select("node", F.col("__p").alias("ptr"), F.least("low", "__l").alias("low")))
-        walking, steps = bool(state.where(F.col("ptr").isNotNull()).limit(1).count()), steps * 2
-    endless = state.where(F.col("ptr").isNotNull())
-    ahead = endless.select(F.col("node").alias("ptr"), F.col("low").alias("least"))
-    looped = endless.select("node", "ptr").join(ahead, "ptr").select("node", F.concat(F.lit("cycle/"), "least").alias("chain"))
-    walk = cut(tops.join(endless.select("node"), "node", "left_anti").select("node", "ptr", "chain"))
-    while walk.where(F.col("ptr").isNotNull()).limit(1).count():
-        nxt = walk.select(F.col("node").alias("ptr"), F.col("ptr").alias("__p"), F.col("chain").alias("__c"))
+    walk = cut(tops.where(F.col("ptr").isNotNull()).select("node", "ptr", "low"))
+    n, before, steps = walk.count(), -1, 1
+    while n and not (n == before and steps > n):
+        nxt = walk.select(F.col("node").alias("ptr"), F.col("ptr").alias("__p"), F.col("low").alias("__l"))
+        more = cut(walk.join(nxt, "ptr").select("node", F.col("__p").alias("ptr"), F.least("low", "__l").alias("low")))
+        drop(walk)
+        walk, before, n, steps = more, n, more.count(), steps * 2
+    ahead = walk.select(F.col("node").alias("ptr"), F.col("low").alias("least"))
+    chains = cut(walk.join(ahead, "ptr").select("node", F.concat(F.lit("cycle/"), "least").alias("chain")))
+    rest = tops.join(walk.select("node"), "node", "left_anti").select("node", "ptr", "chain")
+    ended, walk = F.col("ptr").isNull(), cut(rest)
+    chains, walk = chains.unionByName(walk.where(ended).select("node", "chain")), walk.where(~ended)
+    while walk.limit(1).count():
+        nxt = chains.select("node", F.lit(None).cast("long").alias("__p"), F.col("chain").alias("__c")).unionByName(walk.select("node", F.col("ptr").alias("__p"), F.col("chain").alias("__c")))
         chain = F.when(F.col("__c").isNull(), F.col("chain")).when(F.col("__c").startswith("cycle/"), F.col("__c")).otherwise(F.concat("__c", F.lit("/"), "chain"))
-        walk = cut(walk.join(nxt, "ptr", "left").select("node", F.col("__p").alias("ptr"), chain.alias("chain")))
-    return cut(walk.select("node", "chain").unionByName(looped))
+        more = cut(walk.join(nxt.withColumnRenamed("node", "ptr"), "ptr", "left").select("node", F.col("__p").alias("ptr"), chain.alias("chain")))
+        chains, walk = chains.unionByName(more.where(ended).select("node", "chain")), more.where(~ended)
+    return chains
 
 
 def hierarchy(links: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:

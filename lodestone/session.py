@@ -1,9 +1,12 @@
-"""Session helpers: table loading, shared checkpoints and a local session for tests."""
+"""Session helpers: table loading, intermediate tables in the shared folder and a local session for tests."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,6 +32,7 @@ def local_session(cpus: int | str = "*", app: str = "lodestone", **conf: str) ->
 
 
 _shipped: set[str] = set()
+_archives: list[tempfile.TemporaryDirectory] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -37,7 +41,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     here = Path(__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix=f"{here.name}-")) / f"{here.name}.zip"  # the driver's copy; Spark serves it to executors
+    folder = tempfile.TemporaryDirectory(prefix=f"{here.name}-")  # the driver's copy, which Spark serves to executors; goes with the process
+    _archives.append(folder)
+    archive = Path(folder.name) / f"{here.name}.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, p.relative_to(here.parent))
@@ -51,16 +57,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
+#: Rows that a task should get, at least and at most.
+TASK_ROWS = (50_000, 4_000_000)
+
+
+def rows_per_task(total: int) -> int:
+    """Rows of one task where ``total`` rows are spread: their number and their size both grow with its square root, from
+    many short tasks on little data to tasks that still fit in memory on very much."""
+    return int(min(TASK_ROWS[1], max(TASK_ROWS[0], 32 * total**0.5)))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the shared one named in ``spark.checkpoint.dir``.
+
+    Where the setting is absent, a local session gets a temporary folder; on a cluster it is an error, as other
+    machines could not read what one of them wrote to its own disk.
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestone-ckpt-"))
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given is None and sc._jsc.sc().getCheckpointDir().isDefined():
+        given = sc._jsc.sc().getCheckpointDir().get()
+    if given is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        given = _local.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="lodestone-"))
+    return f"{given.rstrip('/')}/lodestone-{sc.applicationId}"
+
+
+_local: dict[str, str] = {}
+_used: dict[str, str] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and cut the lineage (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise as a table in the shared folder and cut the lineage (survives executor loss).
+
+    A written table is columnar and compressed, and later readers take only the columns they need. Tables stay until
+    :func:`drop`, :func:`release` or the end of the application.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if spark.sparkContext.applicationId not in _used:
+        _used[spark.sparkContext.applicationId] = folder
+        atexit.register(release, spark)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    except Exception:  # the session has ended: what lies on this machine can still go
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table behind a frame of :func:`cut` that nothing reads any more."""
+    if path := getattr(df, "written_to", None):
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the application; frames that read them are void then."""
+    for folder in _used.values():
+        _delete(spark, folder)
