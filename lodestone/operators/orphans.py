@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, rows_per_task
 
-#: References and parents that one task should get; the number of ranges follows from the counted rows.
-TASK_REFS, TASK_PARENTS = 500_000, 1_000_000
+#: Parents that one task should keep.
+TASK_PARENTS = 1_000_000
 #: Bits of the counted buckets of the key space, at least and at most; bounds the counts that reach the driver.
 BUCKET_BITS = (12, 20)
 #: Hot keys up to this number are broadcast (12 bytes each); beyond it they are joined.
@@ -126,11 +126,11 @@ def _hot_keys(r: DataFrame, refs: np.ndarray, bits: int, task_refs: int) -> Data
     return cut(counted.where(F.col("count") > task_refs).select("h1", F.ceil(F.col("count") / task_refs).cast("int").alias("parts")))
 
 
-def ranged_rows(refs: DataFrame, parents: DataFrame, task_refs: int = TASK_REFS, task_parents: int = TASK_PARENTS) -> DataFrame:
+def ranged_rows(refs: DataFrame, parents: DataFrame, task_refs: int | None = None, task_parents: int = TASK_PARENTS) -> DataFrame:
     """Parents and references laid out for :func:`_probe`: each partition holds one range of the hashed keys.
 
     The 64-bit hashes of the keys spread evenly, so equal ranges of them hold about equally many rows: their number
-    follows from the counted references and parents. Only a single key can then fill a task; such hot keys are counted
+    follows from the counted references (:func:`rows_per_task`) and parents. Only a single key can then fill a task; such hot keys are counted
     exactly, and their references alone are spread over further ranges, with copies of that key's parents.
     """
     spark = refs.sparkSession
@@ -140,6 +140,7 @@ def ranged_rows(refs: DataFrame, parents: DataFrame, task_refs: int = TASK_REFS,
     p = p.select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit("second")).alias("h2"), micros("since").alias("t0"), F.coalesce(micros("until"), F.lit(int(_FOREVER))).alias("t1"))
     bits = BUCKET_BITS[0]
     n_refs, n_parents = _bucket_counts(r, p, bits)
+    task_refs = task_refs or rows_per_task(int(n_refs.sum()))
     tasks = max(spark.sparkContext.defaultParallelism, -(-int(n_refs.sum()) // task_refs), -(-int(n_parents.sum()) // task_parents))
     if (finer := min(BUCKET_BITS[1], (8 * tasks - 1).bit_length())) > bits:
         bits = finer
@@ -165,7 +166,7 @@ def ranged_rows(refs: DataFrame, parents: DataFrame, task_refs: int = TASK_REFS,
     return left.unionByName(right).repartitionById(tasks, F.col("pid").cast("int")).sortWithinPartitions("kind").drop("pid")
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, task_refs: int = TASK_REFS, task_parents: int = TASK_PARENTS) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, task_refs: int | None = None, task_parents: int = TASK_PARENTS) -> DataFrame:
     """References whose key has no parent record at their time.
 
     ``refs``: table_name, key, at, row_id, target_id. ``parents``: key, since, until (null: for ever); a parent exists

@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Function rows for which one more range is made.
-RANGE_ROWS = 500_000
+from ..session import rows_per_task
+
 #: Repositories of a delivery up to this number are broadcast (a name and a commit each); beyond it they are joined.
 BROADCAST_REPOS = 200_000
 _KEYS = ["record_kind", "repo_id", "item"]
@@ -157,7 +157,8 @@ def snapshot_changes(repo_snapshots: DataFrame, function_snapshots: DataFrame) -
         F.lit("repo").alias("record_kind"), "snapshot_no", "repo_id", F.lit("").alias("item"), F.lit("changed").alias("change_kind")
     )
     # a count of Parquet rows reads footers only; a file has at least one function on the whole
-    ranges = max(function_snapshots.sparkSession.sparkContext.defaultParallelism, -(-function_snapshots.count() // RANGE_ROWS))
+    n = function_snapshots.count()
+    ranges = max(function_snapshots.sparkSession.sparkContext.defaultParallelism, -(-n // rows_per_task(n)))
     return repos.unionByName(merge_changes(snapshot_records(repo_snapshots, function_snapshots, seq), ranges))
 
 
