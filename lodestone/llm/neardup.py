@@ -29,6 +29,8 @@ FREQUENT, PART_WORDS = 48, 4
 _KEYS = "key long, cls long, mark long"
 #: Bits of a set's parity signature; the rest of a mark holds its size up to LARGEST.
 SIGNATURE, LARGEST = 48, 32_767
+#: Members of one class that meet those of another in one task.
+SLICE_MEMBERS = 1_000
 
 
 def tau(a: int, b: int, t: float) -> int:
@@ -266,24 +268,57 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
     return similar.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def classes(records: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(members: key, cls; sets: cls, words) of the records that have words; equal word sets are one class."""
+def classes(records: DataFrame, key: str, text: str, digest: Callable = F.xxhash64) -> tuple[DataFrame, DataFrame]:
+    """(members: key, cls; sets: cls, words) of the records that have words; equal word sets are one class.
+
+    The word sets are made once and written. A class is named by the 64-bit digest of its words; sets that share one,
+    told apart by a second digest, get names from other digests until no two sets have the same.
+    """
     rows = records.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), word_set(F.col(text)).alias("words")).where(F.col("words").isNotNull())
-    rows = rows.withColumn("cls", F.xxhash64("words"))
-    return cut(rows.select("key", "cls").distinct()), cut(rows.select("cls", "words").dropDuplicates(["cls"]))
+    rows = cut(rows.withColumn("cls", digest("words")))
+    for seed in itertools.count(1):
+        other = F.xxhash64(F.lit(seed), "words")
+        sets = cut(rows.withColumn("o", other).groupBy("cls").agg(F.first("words").alias("words"), (F.min("o") != F.max("o")).alias("mixed")))
+        mixed = sets.where("mixed").select("cls", "mixed")
+        if not mixed.limit(1).count():
+            break
+        rows = cut(rows.join(mixed, "cls", "left").select("key", "words", F.when(F.col("mixed"), other).otherwise(F.col("cls")).alias("cls")))
+    return cut(rows.select("key", "cls").distinct()), sets.select("cls", "words")
+
 
+def _slices(members: DataFrame, slice_members: int) -> DataFrame | None:
+    """(cls, slices) of the classes with more than ``slice_members`` members; None if there are none."""
+    big = cut(members.groupBy("cls").count().where(F.col("count") > slice_members).select("cls", F.ceil(F.col("count") / slice_members).cast("int").alias("slices")))
+    return big if big.limit(1).count() else None
 
-def similar_records(records: DataFrame, key: str, text: str, t: float) -> DataFrame:
+
+def similar_records(records: DataFrame, key: str, text: str, t: float, slice_members: int = SLICE_MEMBERS) -> DataFrame:
     """Pairs of different records (a_key < b_key) whose texts have a word-set similarity of at least ``t``.
 
     Repeated rows of one record count once. A record delivered with several texts pairs by any of them. Null, empty and
     wordless texts pair with nothing; empty input gives an empty result.
+
+    The members of a large class are spread over slices of about ``slice_members``, and slices meet slices, so that no
+    task makes more than about ``slice_members`` squared pairs of one class or of two.
     """
     members, sets = classes(records, key, text)
     links = similar_sets(sets, t)
-    side = lambda k, c: members.select(F.col("key").alias(k), F.col("cls").alias(c))
-    apart = links.join(side("x", "a"), "a").join(side("y", "b"), "b").select("x", "y")
-    copies = side("x", "c").join(side("y", "c"), "c").where(F.col("x") < F.col("y")).select("x", "y")
+    big = _slices(members, slice_members)
+    none = F.lit(0)
+    if big is None:
+        placed = members.select("key", "cls", none.alias("i"))
+        wide = links.select("a", "b", none.alias("ia"), none.alias("ib"))
+    else:
+        many = F.coalesce("slices", F.lit(1))
+        placed = cut(members.join(big, "cls", "left").select("key", "cls", F.pmod(F.xxhash64("key"), many).cast("int").alias("i")))
+        side = lambda c: big.select(F.col("cls").alias(c), F.col("slices").alias(f"s{c}"))
+        upto = lambda c: F.explode(F.sequence(none, F.coalesce(c, F.lit(1)) - 1))
+        wide = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "sb", upto("sa").alias("ia")).select("a", "b", "ia", upto("sb").alias("ib"))
+    end = lambda k, c: placed.select(F.col("key").alias(k), F.col("cls").alias(c), F.col("i").alias(f"i{c}"))
+    apart = wide.join(end("x", "a"), ["a", "ia"]).join(end("y", "b"), ["b", "ib"]).select("x", "y")
+    # a slice meets itself and all before it
+    later = end("y", "c").withColumnRenamed("ic", "j").withColumn("ic", F.explode(F.sequence(none, F.col("j"))))
+    copies = end("x", "c").join(later, ["c", "ic"]).where((F.col("j") > F.col("ic")) | (F.col("x") < F.col("y"))).select("x", "y")
     pairs = apart.unionByName(copies).where(F.col("x") != F.col("y"))
     return pairs.select(F.least("x", "y").alias("a_key"), F.greatest("x", "y").alias("b_key")).distinct()
 
@@ -295,8 +330,8 @@ def similarity_classes(records: DataFrame, key: str, text: str, t: float) -> Dat
     of copies.
     """
     members, sets = classes(records, key, text)
-    sizes = members.groupBy("cls").agg(F.min("key").alias("class_key"), F.count(F.lit(1)).alias("n"))
-    links = similar_sets(sets, t)
+    sizes = cut(members.groupBy("cls").agg(F.min("key").alias("class_key"), F.count(F.lit(1)).alias("n")))
+    links = cut(similar_sets(sets, t))
     both = links.select(F.col("a").alias("cls"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("o")))
     far = both.join(sizes.select(F.col("cls").alias("o"), "n"), "o").groupBy("cls").agg(F.sum("n").alias("far"))
     known = sizes.join(far, "cls", "left").select("cls", "class_key", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))

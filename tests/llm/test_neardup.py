@@ -6,8 +6,10 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from conftest import rows
-from lodestone.llm.neardup import allocate, parts_of, similar_records, similar_sets, similarity_classes, tau
+from lodestone.llm.neardup import allocate, classes, parts_of, similar_records, similar_sets, similarity_classes, tau
 
 
 def jaccard(a, b):
@@ -76,3 +78,23 @@ def test_long_text_and_many_copies(spark):
 
 def test_parts_grow_with_size():
     assert [parts_of(n) for n in (1, 48, 49, 97)] == [12, 12, 24, 48]
+
+
+@pytest.mark.parametrize("n", [7, 1000])
+def test_large_classes_are_sliced(spark, n):
+    texts = {"a b c d e": 60, "a b c d e f": 45, "a b c d f g": 3, "q r s t": 25, "z": 1}
+    data = [(i, t) for i, t in enumerate(t for t, k in texts.items() for _ in range(k))]
+    random.Random(4).shuffle(data)
+    df = spark.createDataFrame(data, "k long, s string").repartition(5)
+    want = {(min(i, j), max(i, j)) for (i, a), (j, b) in itertools.combinations(data, 2) if jaccard(set(a.split()), set(b.split())) >= 0.6}
+    got = [(r["a_key"], r["b_key"]) for r in similar_records(df, "k", "s", 0.6, slice_members=n).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_sets_that_share_a_digest_stay_apart(spark):
+    data = [(i, f"w{i % 40} common x{i % 40} y{i % 40}") for i in range(80)]
+    df = spark.createDataFrame(data, "k long, s string")
+    members, sets = classes(df, "k", "s", digest=lambda w: F.pmod(F.xxhash64(w), F.lit(3)))
+    assert sets.count() == sets.select("cls").distinct().count() == 40
+    joined = members.join(sets, "cls").groupBy("cls").agg(F.collect_set(F.col("key") % 40).alias("k"))
+    assert all(len(r["k"]) == 1 for r in joined.collect())
