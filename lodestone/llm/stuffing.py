@@ -1,10 +1,18 @@
-"""Keyword-stuffed and link-list pages.
+"""Keyword-stuffed and link-list pages, by how their terms recur.
 
-A text is cut into segments (sentences within lines). Each is put down as solid (sentences, code, logs, values) or as
-loose: words without the function words that sentences of any language need. Loose words are then analysed in their
-order: the gaps after which terms recur, and the autocorrelation of the term sequence within a window of lags. Loose
-words that recur at short or regular gaps, links, and long lists of nouns, of which the share of distinct terms is high
-in each stretch, are stuffing; a page is spam if they outweigh everything else.
+A text becomes one sequence of terms in windows of some forty; code, logs, encoded lines and values are set aside by
+their form. Nothing is known of any language. Natural sentences differ from stuffing in how terms recur:
+
+- *Gaps.* Apart from the short terms that keep coming back (the grammar of a text, found by their length against the
+  text's own terms), few terms recur within the next forty. In stuffing most do.
+- *Order.* Where terms of sentences do recur, because sentences or their frames are repeated, their successors recur
+  with them. In stuffing a term is followed by whatever its frequency makes likely: the share of equal successors is
+  that of chance, which the terms' own frequencies give.
+- *Regularity.* Lists with a frame ("best A best B", one product a line) bring terms back at equal distances: the
+  autocorrelation over a range of lags rises above chance, while no sentence ends.
+- *Lists of nouns.* Terms that are almost all distinct, none of them short and recurring, and no sentence ends.
+
+Windows with these signs are stuffed; a page is spam if its stuffed words and links outweigh the rest.
 """
 
 from __future__ import annotations
@@ -13,41 +21,27 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: function words by language
-FUNCTION_WORDS = frozenset(
-    """a an the and or but nor so yet if then than that this these those which who whom whose what when where while why how
-of in on at by for from to into onto with without within about above after again against before below between during over under
-until up down out off near per via as is are was were be been being am do does did done has have had having can could may might
-must shall should will would not no it its he she they we you i me him her them us our your their his my one some any each every
-all both few more most other such only own same too very just because since although though once here there also
-der die das den dem des ein eine einen einem einer eines und oder aber nicht kein keine ist sind war waren wird werden wurde hat
-haben bei beim bis durch für gegen mit nach ohne seit um unter von vom vor zu zum zur über auf aus im in an am als wie wenn weil
-dass ob so nur noch auch schon er sie es wir ihr ich man sich wer was bitte danach sonst
-le la les l un une des du de d et ou mais ne ni est sont était a ont être avoir à au aux avec sans sous sur dans par pour en
-chez vers depuis que qui quoi dont où ce cet cette ces il elle ils elles nous vous on se sa son ses leur leurs si plus aucun
-chaque lorsque puis car
-el la los las lo un una unos unas y e o u pero no ni es son era fue ser está están ha han hay con sin sobre bajo entre desde hasta
-para por de del al a en que quien cual cuyo donde cuando como si porque se su sus le les me te nos ya más muy este esta estos estas
-cada ningún
-il lo gli i uno una ed o ma non è sono di da dal della dei con su per tra fra che chi cui quando come se
-o os as um uma uns umas e ou mas não é são de do da dos das em no na nos nas com sem por para que quem quando como se ao à
-""".split()
-)
-# fixed values: characters and pairs that carry the grammar of Chinese and Japanese sentences
-CJK_FUNCTION = re.compile("[的了在是和与或被把从到会都请就也不没有这那个时后前只并让因为如果所以我们你们他们已将对为及の は を に が で と も た だ る]".replace(" ", ""))
-CJK_RUN = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+")
-WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+ASCII_WORD = re.compile(r"[a-z0-9]+(?:'[a-z0-9]+)*")
+WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+(?:['’][\p{L}\p{N}\p{M}]+)*")
 CAMEL = re.compile(r"(?<=[a-zß-ÿ0-9])(?=[A-ZÀ-Þ])")
+ASCII_CAMEL = re.compile(r"([a-z0-9])(?=[A-Z])")
+#: Scripts that set no blanks between words.
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+")
 LINK = re.compile(r"(?:https?://|www\.)[^\s<>()\[\]\"']+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|net|org|info|biz|ru|cn|io)\b(?:/[^\s<>()\[\]\"']*)?", re.I)
+DOMAIN = re.compile(r"www\.|\.(?:example|test|invalid|com|net|org|info|biz|ru|cn|io)\b", re.I)
 MARKUP = re.compile(r"<!--|-->|</?[a-zA-Z][^<>]{0,200}>|&[a-z]+;|!?\[|\]\(|[*_`~]{1,3}")
+MARKS = re.compile(r"[<>&\[\]*_`~]")
 MARKED = re.compile(r"<!--|-->|</?[a-zA-Z][^<>]{0,200}>|\]\(")
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。!?;])")
+#: Ends of sentences; in scripts without blanks nothing need follow.
+SENTENCE_END = re.compile(r"[.!?…]+(?=[\s\"'»”)\]*`_]|$)|[。!?؟।॥።။]")
 LINES = re.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+")
 LOG = re.compile(r"^\W*(?:\[?\d{4}\W\d\d\W\d\d[T ]|\d\d:\d\d:\d\d|(?:INFO|WARN|ERROR|DEBUG|TRACE)\b)", re.I)
 CODE = re.compile(
@@ -58,37 +52,60 @@ CODE = re.compile(
     r"^\s*[A-Za-z_][A-Za-z0-9_.]*=\S*\s*$|^\s*[\w./-]+\s+[vV]\d+\.\d+|^\s*\"[^\"]+\"[,:]?\s*$|^\s*\w+:\s*$|^\s+[\w-]+:\s\S+\s*$"
 )
 FENCE = re.compile(r"^\s*(?:```|~~~)")
+#: Lines without any of these are no code, unless they are short.
+SYMBOL = re.compile(r"[{}()\[\]=;<>|#$\\\"]|//|^\W*\d|--")
 ZERO_WIDTH = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
 JOINED = re.compile(r"[,;|#/]+")
 #: A piece of a joined line that looks like a term: letters of one word, a compound or a camel case name.
 TERM = re.compile(r"[^\W\d_]{2,20}(?:[-_'’.][^\W\d_]{2,20}){0,3}")
-EDGES = ".,;:!?()[]{}<>\"'`*_|-#"
-#: A page with fewer loose words than this is a short note.
+#: A page with fewer stuffed words than this is a short note.
 LEAST_WORDS = 25
-#: Lags over which the term sequence is compared with itself, and gaps that count as recurrence.
-LAGS, NEAR = 12, 40
-#: Loose words are stuffing if so large a share recurs, at so high an autocorrelation, or if they are a list: in windows
-#: of so many words, which shorter ones don't fill, so large a share of the terms is distinct.
-RECURRING, REGULAR, LONG_LIST, DISTINCT = 0.3, 0.1, 50, 0.75
-LINK_WORDS = 3
-#: Words with a larger share of function words are sentences, however few terms they repeat.
-SPRINKLED = 0.425
+#: Terms of a window, and the shortest window that is judged.
+WINDOW, LEAST_WINDOW = 40, 12
+#: Distance, in terms other than grammar, within which a term counts as recurring; distance over which successors are compared.
+NEAR, BACK = 40, 400
+#: Lags of the autocorrelation, and terms around a window that it looks at.
+LAGS, AROUND = 10, 60
+#: A recurring term is grammar if it is at most so long, measured by the mean length of the text's terms.
+SHORT = 0.7
+#: ... and grammar follows itself in at most so large a share of the cases that chance would give.
+REPEL = 0.3
+#: Shares from which a window is stuffed: of recurring terms (where sentences show, and where not), and of the
+#: autocorrelation above chance; shares of equal successors from which an order is kept, in both cases, above chance
+#: and two standard errors.
+RECURRING, REGULAR, ORDERED = (0.6, 0.52), 0.13, (0.08, 0.5)
+#: Signs of sentences: at least so large a share of grammar, or an end within so many terms but not so few.
+GRAMMAR, SENTENCE, SHORTEST = 0.2, 30, 5
+#: A list of nouns: at least so many distinct terms, hardly any grammar, and no more sentence ends than one in so many.
+DISTINCT, NO_GRAMMAR, UNENDING = 0.8, 0.08, 40
+#: Numbers among the terms of a list at most, and of anything stuffed.
+NUMBERS, VALUES = 0.15, 0.4
+#: Words that a link stands for, and words a link in a line without other text: its name.
+LINK_WORDS, ANCHOR_WORDS = 3, 6
 
 
 def words_of(text: str) -> list[str]:
-    """Words in lower case, compounds in camel case apart; Chinese and Japanese characters count in pairs."""
-    out = []
+    """Terms in lower case, compounds in camel case apart.
+
+    Runs of scripts without blanks are one term if they are as short as a word, else all their pieces of two characters
+    (four letters in alphabetic scripts).
+    """
+    out: list[str] = []
+    if text.isascii():
+        return ASCII_WORD.findall((ASCII_CAMEL.sub(r"\1 ", text) if ASCII_CAMEL.search(text) else text).lower())
+    if not UNSPACED.search(text):
+        return WORD.findall(CAMEL.sub(" ", text).lower())
     for w in WORD.findall(text):
-        if w.isascii():
-            out += [x.lower() for x in CAMEL.split(w)] if not w.islower() else [w]
-        elif CJK_RUN.search(w):
-            at = 0
-            for m in CJK_RUN.finditer(w):
-                out += [w[at : m.start()].lower()] * (m.start() > at) + [m[0][i : i + 2] for i in range(0, len(m[0]), 2)]
-                at = m.end()
-            out += [w[at:].lower()] * (at < len(w))
-        else:
-            out += [x.lower() for x in CAMEL.split(w)]
+        at = 0
+        for m in UNSPACED.finditer(w):
+            if m.start() > at:
+                out.append(w[at : m.start()].lower())
+            run = m[0]
+            k = 2 if run[0] >= "\u2e80" else 4
+            out += [run] if len(run) <= 2 * k else [run[i : i + k] for i in range(len(run) - k + 1)]
+            at = m.end()
+        if at < len(w):
+            out += [x.lower() for x in CAMEL.split(w[at:])]
     return out
 
 
@@ -107,157 +124,187 @@ def joined_terms(line: str) -> list[str]:
     return pieces
 
 
-def is_sentence(words: list[str], text: str, barred: frozenset[str] | set[str]) -> bool:
-    """Whether a segment has the function words of a sentence; in Chinese and Japanese, unbroken runs with grammar."""
-    fw = sum(w in FUNCTION_WORDS and w not in barred for w in words)
-    if fw * 7 >= len(words) and fw:
-        return True
-    if text.isascii():
-        return False
-    runs = CJK_RUN.findall(text)
-    long = sum(len(r) for r in runs if len(r) >= 5)
-    return long * 2 >= sum(map(len, runs)) > 0 and long >= len(words) // 2 and bool(CJK_FUNCTION.search(text))
+class Page(NamedTuple):
+    """Terms of a text in order, windows (first term, one past the last, sentence ends), words that stand in links (a link
+    stands for some of its own) and words set aside."""
 
+    terms: list[str]
+    windows: list[tuple[int, int, float]]
+    linked: int
+    solid: int
 
-def recurrence(terms: list[str]) -> tuple[np.ndarray, float]:
-    """(for each position whether its term recurs within NEAR places, highest autocorrelation over lags 1..LAGS).
-
-    The autocorrelation at a lag is the share of positions with the same term there, beyond what the terms' own
-    frequencies would give.
-    """
-    n = len(terms)
-    if n < 2:
-        return np.zeros(n, bool), 0.0
-    _, codes = np.unique(np.array(terms, dtype=object).astype(str), return_inverse=True)
-    order = np.argsort(codes, kind="stable")
-    gap = np.diff(order)
-    same = codes[order][1:] == codes[order][:-1]
-    close = same & (gap <= NEAR)
-    near = np.zeros(n, bool)
-    near[order[1:][close]] = True
-    near[order[:-1][close]] = True
-    p = np.bincount(codes) / n
-    chance = float((p * p).sum())
-    peak = max((float((codes[k:] == codes[:-k]).mean()) for k in range(1, min(LAGS, n - 1) + 1)), default=0.0)
-    return near, (peak - chance) / (1 - chance) if chance < 1 else 1.0
-
-
-def distinct_share(terms: list[str]) -> float:
-    """Mean share of distinct terms in windows of LONG_LIST places, the last one ending with the terms, so that it does
-    not fall with their number; 0 for terms that do not fill a window."""
-    last = len(terms) - LONG_LIST
-    if last < 0:
-        return 0.0
-    starts = [*range(0, last, LONG_LIST), last]
-    return sum(len(set(terms[i : i + LONG_LIST])) for i in starts) / (LONG_LIST * len(starts))
 
-
-def _barred(function_words: list[list[str]]) -> set[str]:
-    """A function word that makes up most of a text's function words is a keyword there."""
-    counts = Counter(w for ws in function_words for w in ws)
-    total = sum(counts.values())
-    return {w for w, n in counts.items() if n >= 8 and n * 5 > total * 3}
-
-
-def _monotone(words: list[str]) -> bool:
-    """Whether words without function words come from a handful of terms in ever new order, as sentences never do.
-
-    Repeated sentences also repeat their terms, but in the same order: their pairs of neighbours recur as well.
-    """
-    every = [x for x in (w.strip(EDGES) for w in words) if x]
-    c = [x for x in every if x not in FUNCTION_WORDS]
-    if len(c) < 12 or len(every) - len(c) > SPRINKLED * len(every):
-        return False
-    hits = windows = 0
-    for i in range(0, len(c) - 11, 40):
-        w = c[i : i + 40]
-        terms, pairs = len(set(w)), len(set(zip(w, w[1:])))
-        windows += 1
-        hits += terms * 5 <= len(w) * 2 and pairs * 10 >= 15 * terms and pairs * 5 >= 2 * len(w)
-    return hits * 2 > windows
-
-
-def stuffing(text: str | None) -> tuple[int, int]:
-    """(stuffed words, all words) of a text."""
-    if not text:
-        return 0, 0
+def page(text: str) -> Page:
     if not text.isascii():
         text = ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", text))
     lines = [x for x in LINES.split(text) if x and not x.isspace()]
-    split = [x.lower().split() for x in lines]
-    grammar = [[w for w in ws if w in FUNCTION_WORDS] for ws in split]
-    barred = _barred(grammar)
-    solid, links, loose, open_lines, coded, prose = 0, 0, [], [], 0, []
+    kept: list[str] = []
+    solid = coded = 0
     fenced = False
-    for line, quick, fw in zip(lines, split, grammar):
-        n = len(quick)
-        if n >= 5 and len(fw) * 5 >= n and not barred and "http" not in line:
-            if len(set(quick)) * 10 < 6 * n and _monotone(quick):
-                loose += words_of(line)
-                continue
-            if n < 60 or all(sum(w in FUNCTION_WORDS for w in quick[i : i + 30]) >= 5 for i in range(0, n - 29, 30)):
-                solid += n
-                prose.append(quick)
-                continue
+    for line in lines:
+        n = len(line.split())
+        if n >= 8 and not fenced and not SYMBOL.search(line):
+            kept.append(line)
+            continue
         if FENCE.match(line):
             fenced = not fenced
             continue
         marked = MARKED.search(line)
-        closed = line.rstrip().endswith(";") and not marked and not fenced and "://" not in line
-        if (n == 1 and len(line) >= 20 or closed) and not marked and not fenced and "://" not in line and not re.search(r"[=(){}\"$<>]", line):
+        linked = "://" in line
+        closed = line.rstrip().endswith(";") and not marked and not fenced and not linked
+        if (n == 1 and len(line) >= 20 or closed) and not marked and not fenced and not linked and not re.search(r"[=(){}\"$<>]", line):
             pieces = joined_terms(re.sub(r"\s*([,;|#/])\s*", r"\1", line) if closed else line)
             if pieces:
-                open_lines.append((" ".join(pieces), [x.lower() for x in pieces]))
+                kept.append(" ".join(pieces))
                 continue
-        if (n == 1 and len(line) >= 20 and not marked and "://" not in line and not CJK_RUN.search(line)) or LOG.match(line) or (not marked and CODE.search(line)) or (fenced and not marked and "://" not in line):
+        if (n == 1 and len(line) >= 20 and not marked and not linked and not UNSPACED.search(line)) or LOG.match(line) or (not marked and CODE.search(line)) or (fenced and not marked and not linked):
             solid += n
             coded += 1
             continue
-        open_lines.append((line, quick))
-    # short lines among code or values belong to it
-    code_around = coded * 2 >= len(open_lines) and coded >= 3
-    for line, quick in open_lines:
-        urls = LINK.findall(line) if "." in line else []
-        if code_around and len(quick) <= 6 and not urls and not MARKED.search(line):
-            solid += len(quick)
+        kept.append(line)
+    code_around = coded * 2 >= len(kept) and coded >= 3  # short lines among code or values belong to it
+    terms: list[str] = []
+    windows: list[tuple[int, int, float]] = []
+    links, anchors, start, ends = 0, 0, 0, 0.0
+    for line in kept:
+        urls = LINK.findall(line) if "://" in line or DOMAIN.search(line) else []
+        if code_around and not urls and len(line) < 200 and not MARKED.search(line) and len(line.split()) <= 6:
+            solid += len(line.split())
             continue
-        if len(quick) >= 25 and len(set(quick)) * 10 < 6 * len(quick) and _monotone(quick):
-            loose += words_of(line)
-            continue
-        rest = MARKUP.sub(" ", LINK.sub(" ", line) if urls else line)
-        if not urls:
-            values = [w for w in (x.strip(EDGES) for x in quick) if w]
-            if sum(w.isdigit() for w in values) * 3 > len(values):
-                solid += len(values)
-                continue
-        for seg in SENTENCE_END.split(rest) if len(quick) >= 8 or not rest.isascii() else (rest,):
-            q = seg.lower().split()
-            fw = sum(w in FUNCTION_WORDS and w not in barred for w in q)
-            if fw and fw * 7 >= len(q):
-                solid += len(q)
-                continue
-            sw = words_of(seg)
-            if not sw:
-                continue
-            if is_sentence(sw, seg, barred):
-                solid += len(sw)
-            else:
-                loose += sw
+        rest = LINK.sub(" ", line) if urls else line
+        found = words_of(MARKUP.sub(" ", rest) if MARKS.search(rest) else rest)
+        here = len(SENTENCE_END.findall(rest)) / len(found) if found else 0.0
         links += len(urls)
-    told = sum(map(len, prose))
-    if told >= LEAST_WORDS and len({w for ws in prose for w in ws}) * 10 < 4 * told:
-        for i in range(0, len(prose), 8):  # short stuffed sentences, one a line
-            some = [w for ws in prose[i : i + 8] for w in ws]
-            if _monotone(some):
-                solid -= len(some)
-                loose += [w.strip(EDGES) for w in some]
-    near, auto = recurrence(loose)
-    stuffed = int(near.sum())
-    if auto > REGULAR or stuffed > RECURRING * len(loose) or distinct_share(loose) >= DISTINCT:
-        stuffed = len(loose)
-    # a link stands for a few words of its own
-    stuffed += LINK_WORDS * links if stuffed or links >= 8 else 0
-    return stuffed, solid + len(loose) + LINK_WORDS * links
+        if urls and len(found) <= ANCHOR_WORDS * len(urls):  # what is left are the names of the links
+            anchors += len(found)
+            continue
+        for i in range(0, len(found), WINDOW):
+            part = found[i : i + WINDOW]
+            if len(terms) - start >= LEAST_WINDOW and len(terms) - start + len(part) > WINDOW * 3 // 2:
+                windows.append((start, len(terms), ends))
+                start, ends = len(terms), 0.0
+            terms += part
+            ends += here * len(part)
+            if len(terms) - start >= WINDOW:
+                windows.append((start, len(terms), ends))
+                start, ends = len(terms), 0.0
+    if len(terms) > start:
+        windows.append((start, len(terms), ends))
+    return Page(terms, windows, LINK_WORDS * links + anchors, solid)
+
+
+def grammar(terms: list[str]) -> set[str]:
+    """The terms of a text that recur and are short by the measure of its own terms; none of scripts without blanks.
+
+    In no language does such a term follow itself but by accident: if they do so about as often as by chance (the
+    autocorrelation at lag 1), they are short keywords and no grammar.
+    """
+    counts = Counter(terms)
+    kinds = [w for w in counts if not w.isdigit() and not (w[0] > "\u0dff" and UNSPACED.match(w))]
+    limit = SHORT * sum(map(len, kinds)) / max(1, len(kinds))
+    short = {w for w in kinds if len(w) <= limit and counts[w] > 1}
+    chance = sum(counts[w] ** 2 for w in short) / max(1, len(terms))
+    if chance >= 2 and sum(a == b and a in short for a, b in zip(terms, terms[1:])) > REPEL * chance:
+        return set()
+    return short
+
+
+def recurring(terms: list[str], start: int, end: int, short: set[str]) -> float:
+    """Share of a window's terms, without grammar and numbers, that occur again within NEAR of them."""
+    other = lambda xs: [w for w in xs if w not in short and not w.isdigit()]
+    before, own, after = other(terms[max(0, start - 2 * NEAR) : start])[-NEAR:], other(terms[start:end]), other(terms[end : end + 2 * NEAR])[:NEAR]
+    counts = Counter(before + own + after)
+    return sum(counts[w] > 1 for w in own) / len(own) if own else 0.0
+
+
+def autocorrelation(terms: list[str]) -> float:
+    """Highest share of equal terms over lags 1..LAGS, above the chance that the terms' frequencies give."""
+    n = len(terms)
+    if n <= LAGS + 1:
+        return 0.0
+    number: dict[str, int] = {}
+    codes = np.array([number.setdefault(w, len(number)) for w in terms])
+    p = np.bincount(codes) / n
+    chance = float((p * p).sum())
+    peak = max(float((codes[k:] == codes[:-k]).mean()) for k in range(1, LAGS + 1))
+    return (peak - chance) / (1 - chance) if chance < 1 else 1.0
+
+
+def order_kept(terms: list[str], start: int, end: int) -> tuple[float, float]:
+    """(share of the recurring terms whose successor is that of their last occurrence, above chance; its standard error)."""
+    last: dict[str, int] = {}
+    for i in range(max(0, start - BACK), start):
+        last[terms[i]] = i
+    same = met = 0
+    for i in range(start, min(end, len(terms) - 1)):
+        j = last.get(terms[i])
+        if j is not None:
+            met += 1
+            same += terms[i + 1] == terms[j + 1]
+        last[terms[i]] = i
+    n = end - start
+    chance = sum(c * c for c in Counter(terms[start:end]).values()) / (n * n)
+    if not met or chance >= 1:
+        return 0.0, 0.0
+    return (same / met - chance) / (1 - chance), (chance / (1 - chance) / met) ** 0.5
+
+
+def stuffed_window(terms: list[str], start: int, end: int, ends: float, short: set[str]) -> bool:
+    """Whether a window's terms recur as in stuffing, or are a list of nouns."""
+    own, n = terms[start:end], end - start
+    if n < LEAST_WINDOW:
+        return False
+    numbers = len({w for w in own if w.isdigit()}) / n
+    if numbers >= VALUES:
+        return False
+    share = sum(w in short for w in own) / n
+    ended = ends * SENTENCE >= n >= ends * SHORTEST
+    sentences = ended or share >= GRAMMAR
+    if recurring(terms, start, end, short) >= RECURRING[not sentences]:
+        order, error = order_kept(terms, max(0, start - AROUND), min(len(terms), end + AROUND))
+        if order < ORDERED[not sentences] + 2 * error:
+            return True
+    if ended:
+        return False
+    if autocorrelation(terms[max(0, start - AROUND) : end + AROUND]) > REGULAR:
+        return True
+    if share >= NO_GRAMMAR or ends * UNENDING >= n or len(set(own)) < DISTINCT * n or numbers >= NUMBERS or n < WINDOW:
+        return False
+    # pieces of running text in a script without blanks overlap; the terms of a list don't
+    return sum(len(a) > 1 and a[1:] == b[:-1] for a, b in zip(own, own[1:])) * 2 < n
+
+
+def plain_sentences(text: str) -> tuple[int, int]:
+    """(words in lines of sentences whose words hardly recur, all words with those that links stand for): a first look."""
+    told = words = 0
+    for line in text.split("\n"):
+        own = line.lower().split()
+        n = len(own)
+        words += n + LINK_WORDS * line.count("://")
+        if n < LEAST_WINDOW or "://" in line:
+            continue
+        ends = line.count(". ") + line.count("? ") + line.count("! ") + (own[-1][-1] in ".?!")
+        if ends * SENTENCE >= n >= ends * SHORTEST and all(len(set(own[i : i + WINDOW])) * 10 >= 8 * len(own[i : i + WINDOW]) for i in range(0, n, WINDOW)):
+            told += n
+    return told, words
+
+
+def stuffing(text: str | None) -> tuple[int, int]:
+    """(stuffed words, all words) of a text; 0 stuffed as soon as they can't be the greater part."""
+    if not text:
+        return 0, 0
+    told, words = plain_sentences(text)
+    if told * 2 >= words:
+        return 0, words
+    terms, windows, linked, solid = page(text)
+    total = solid + len(terms) + linked
+    # sentences whose terms hardly recur need no further look
+    doubtful = [(s, e, x) for s, e, x in windows if not x * SENTENCE >= e - s >= x * SHORTEST or len(set(terms[s:e])) * 10 < 8 * (e - s)]
+    if (sum(e - s for s, e, _ in doubtful) + linked) * 2 <= total:
+        return 0, total
+    short = grammar(terms)
+    stuffed = sum(e - s for s, e, x in doubtful if stuffed_window(terms, s, e, x, short))
+    return stuffed + linked, total
 
 
 def is_stuffed(text: str | None) -> bool:
