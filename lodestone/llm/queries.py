@@ -29,24 +29,24 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def _patches(spark: SparkSession, d: str) -> DataFrame:
-    """All patches and diffs with the repository that owns them."""
-    pulls = table(spark, d, "pull_requests").select(F.col("pr_id").alias("row_id"), F.col("repo_id").alias("owner"), F.col("diff").alias("text"))
-    owners = pulls.select(F.col("row_id").alias("pr_id"), "owner").dropDuplicates(["pr_id"])
-    files = table(spark, d, "pr_files").select(F.col("pr_file_id").alias("row_id"), "pr_id", F.col("patch").alias("text")).join(owners, "pr_id", "left")
-    cols = ["row_id", "owner", "text"]
-    return files.select(F.lit("pr_files").alias("table_name"), *cols).unionByName(pulls.select(F.lit("pull_requests").alias("table_name"), *cols))
+def _patches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All patches and diffs with the pull request they belong to, and the repositories that own the pull requests."""
+    pulls = table(spark, d, "pull_requests")
+    files = table(spark, d, "pr_files").select(F.lit("pr_files").alias("table_name"), F.col("pr_file_id").alias("row_id"), F.col("pr_id").alias("owner"), F.col("patch").alias("text"))
+    texts = files.unionByName(pulls.select(F.lit("pull_requests").alias("table_name"), F.col("pr_id").alias("row_id"), F.col("pr_id").alias("owner"), F.col("diff").alias("text")))
+    return texts, pulls.select(F.col("pr_id").alias("owner"), F.col("repo_id").alias("name"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines of patches and diffs on which a literal credential starts."""
-    return credentials(_patches(spark, d)).select("table_name", "row_id", "line_no").distinct()
+    texts, owners = _patches(spark, d)
+    return credentials(texts, owners=owners).select("table_name", "row_id", "line_no").distinct()
 
 
 def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every patch and diff with only its credentials replaced."""
-    texts = _patches(spark, d)
-    return redacted(texts, credentials(texts))
+    texts, owners = _patches(spark, d)
+    return redacted(texts, credentials(texts, owners=owners))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

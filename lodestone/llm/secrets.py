@@ -5,15 +5,16 @@
 2. A value with many owners is a placeholder that is copied around and is suppressed, unless it proves itself (whole
    keys, token formats, random strings); such a value and a rare one are confirmed.
 3. Every text is scanned again for the confirmed values, wherever they stand, with an automaton. A text gets only the
-   values whose longest run of letters and digits occurs in it (matched by hash, behind a filter of fixed size), so no
-   task and no broadcast holds the secrets of the whole corpus. Values without such a run are matched by four of their
-   characters in the same way.
+   values whose longest run of letters and digits occurs in it (matched by hash; by a broadcast join while the values
+   are few, else behind a filter whose size follows their number). Values without such a run are matched by four of
+   their characters in the same way. Only texts with such a match are taken up again, so that no text is shuffled.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,8 +30,12 @@ from ..session import cut
 
 #: A weak value that more owners than this have in common, and more than this share of all, is a placeholder.
 MOST_OWNERS, OWNER_SHARE = 5, 1 / 12
-#: Buckets of each filter over anchors that tasks get: a fixed 128 KB.
-FILTER_BITS = 20
+#: Up to this many confirmed values (or texts to be searched for them) are broadcast, some 100 bytes each.
+BROADCAST_VALUES, BROADCAST_TEXTS = 500_000, 100_000
+#: Buckets of a filter over anchors: 16 for each value within these powers of two (8 KB to 16 MB).
+FILTER_BITS = (16, 27)
+#: Parts of an anchor that stands in very many texts, where values and texts are joined by shuffles.
+SALT = 16
 #: Characters by which a value without an anchor is matched, and characters of a text that are hashed at once.
 GRAM, GRAM_BLOCK = 4, 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -45,23 +50,35 @@ FORMATS = re.compile(
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 KEY_LINE = re.compile(r"\n[-+ ]?[ \t]*(?:[A-Za-z0-9+/=]{8,}|[A-Za-z-]+: [^\n]*|)[ \t]*\r?(?=\n|$)")
+KEY_TEXT = re.compile(r"(?:\\[nr]|[A-Za-z0-9+/=])*\r?")
 URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"'`<>]*:([^\s/\"'`<>]+)@(?=[\w.\[-])")
 HEADER = re.compile(r"(?i)\b(?:authorization|x-api-key|x-auth-token|private-token)[\"']?\s*[:=,]\s*[\"']?(?:(basic|bearer|token|apikey)\s+)?([A-Za-z0-9+/=_.~-]{8,})")
 ASSIGN = re.compile(r"(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,80})(?P<q>[\"']?)\]?(?P<op>[ \t]*(?::=|=>|=|:)[ \t]*)(?P<value>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s\"'`]\S*)(?P<more>(?:[ \t]*[+.][ \t]*[\"'][^\"'\n]*[\"'])*)")
 LOGIN = re.compile(r"(?i)(?:\blogin\s+\S+\s+|\buser(?:name)?\s+\S+\s+|[/,|]\s*)(?:password|passwd|pass|pwd|pw)[:=]?\s+(\S+)")
 FLAG = re.compile(r"(?i)(?<![\w-])--?(?:[a-z-]*(?:token|password|passwd|secret|api-?key|access-key))[= ]\s*(\"[^\"\n]*\"|'[^'\n]*'|\S+)")
 CURL_USER = re.compile(r"(?<!\S)(?:-u|--user)[= ]\s*[\"']?[\w.-]+:([^\s\"']+)")
-#: Lines without any of these hold no named credential.
-NAMED = re.compile(r"(?i)pass|identified|connect|login|dial|pwd|secret|token|key|auth|cred|\bpw\b|\bpat\b|(?<!\S)-u\b|--user")
+WEBHOOK = re.compile(r"https://(?:hooks\.[\w.-]+/services/|[\w.-]+/api/webhooks/)([A-Za-z0-9_-]+(?:/[A-Za-z0-9_-]+)*)")
+#: Values behind a name in a string of settings (user=a;password=b) or in the query of an address.
+SETTING = re.compile(r"(?i)(?:[;?&,\"']|^)[ \t]*(?P<name>password|pwd|(?:shared)?access_?key|account_?key|shared_?secret|api_?key|access_?token|auth_?token|client_?secret|secret_?key)[ \t]*=[ \t]*(?P<value>[^;&\s\"'`<>]+)(?=[;&\"'`\s]|$)")
+#: A name and its value as arguments of a call that stores them, and the value as that of a method named after it.
+STORED = re.compile(r"(?i)\b(?:put|set\w*|add\w*|header|setenv|env|option|config|define|property|insert|with\w*)\(\s*[\"'](?P<name>[\w.-]+)[\"']\s*,\s*[\"'](?P<value>[^\"'\n]+)[\"']\s*\)")
+SETTER = re.compile(r"(?:\b(?:set|with|use)_?|\.)(?P<name>[A-Za-z]\w*)\(\s*[\"'](?P<value>[^\"'\n]+)[\"']\s*\)")
+ELEMENT = re.compile(r"<(?P<name>[\w.:-]+)(?:\s[^<>]*)?>(?P<value>[^<>\s]+)</(?P=name)>")
+ATTRIBUTE = re.compile(r"(?i)\b(?:key|name|id)=[\"'](?P<name>[\w.:-]+)[\"'][^<>\n]*?\bvalue=[\"'](?P<value>[^\"'\n]+)[\"']")
 IDENTIFIED = re.compile(r"(?i)\b(?:identified\s+(?:with\s+\S+\s+)?by|with\s+password|password\s*\()\s*(?:password\s*)?['\"]([^'\"\n]+)['\"]")
 CONNECT = re.compile(r"(?i)\b\w*(?:connect|login|log_in|dial|authenticate|basic_?auth)\w*\(\s*(?:[\"'][^\"'\n]*[.:/][^\"'\n]*[\"']\s*,\s*)?[\"'][\w.@-]+[\"']\s*,\s*[\"']([^\"'\n]+)[\"']")
 NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 # fixed values: last words of names that hold credentials, and words of values that hold none
 PASSWORDS = frozenset("password passwd pass pwd pw passphrase passcode".split())
+KEY_OWNERS = frozenset("api access account secret auth signing encryption master private client service".split())
 TOKENS = frozenset("token secret apikey authtoken credential credentials auth pat".split())
+PHRASE_WORDS = frozenset("a an the is are be must should may can not no your enter please for from with of to in and or if password passphrase".split())
+# fixed values: parts of a line without which it holds no named credential; the second ones as whole words
+NAMES = "pass identified connect login dial pwd secret token key auth cred --user".split()
+SHORT_NAMES = "pw pat -u".split()
 NOT_LITERAL = re.compile(
-    r"(?i)^(?:[$@&<{\[]|%[sdvqr(]\W*$|%\(|%\w+%$|(?-i:\*[a-z_-]*$)|.*(?:\$\{|\{\{|\$\(|%\(|<[a-z]|\*{3}|x{4}|\.{3}|…)|(?:null|none|nil|true|false|undefined|empty|string|str|required|optional)(?:[,;)]|$)|"
-    r".*(?:redacted|change[-_ ]?me|placeholder|example|your[-_ ]|dummy|fake[-_]|todo[-_:]|insert[-_ ]|replace[-_ ]me|getenv|environ|process\.env|vault[:/.]|secretsmanager|arn:|ref\+|op://))"
+    r"(?i)^(?:[$@&<{\[]|%[sdvqr(]\W*$|%\(|%\w+%$|(?-i:\*[a-z_-]*$)|.*(?:\$\{|\{\{|\$\(|%\(|<[a-z]|\*{3}|\.{3}|…)|(?:null|none|nil|true|false|undefined|empty|string|str|required|optional)(?:[,;)]|$)|"
+    r"example(?![a-z])|.*(?:redacted|change[-_ ]?me|placeholder|[-_. ]example|example[-_. ]|example(?:key|token|secret|pass|password)?$|your[-_ ]|dummy|fake[-_]|todo[-_:]|insert[-_ ]|replace[-_ ]me|getenv|environ|process\.env|vault[:/.]|secretsmanager|arn:|ref\+|op://))"
 )
 #: Names in camel or snake case, which only look random.
 NAMELIKE = re.compile(r"(?:[A-Z]?[a-z]{3,}+|[A-Z]{2,}+)+|[a-z]+(?:[_.-][a-z]+)+")
@@ -69,6 +86,11 @@ REFERENCE = re.compile(r"^[A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)*(?:\(.*|\[.*)$|^[A-Za
 EDGE = re.compile(r"[A-Za-z0-9]")
 
 
+def placeholder(v: str) -> bool:
+    """Whether a value stands for another: a reference, a known sample, or largely a run of the letter x."""
+    return bool(NOT_LITERAL.search(v)) or any(len(m) * 3 >= len(v) for m in re.findall("(?i)x{4,}", v))
+
+
 def entropy(v: str) -> float:
     """Bits per character."""
     n = len(v)
@@ -81,7 +103,7 @@ def _varied(v: str) -> int:
 
 def plausible_password(v: str) -> bool:
     """A literal that can be a password: no reference, no placeholder, no plain word."""
-    if len(v) < 5 or re.search(r"\s", v) or NOT_LITERAL.search(v) or len(set(v)) < 4:
+    if len(v) < 5 or re.search(r"\s", v) or placeholder(v) or len(set(v)) < 4:
         return False
     return bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) or (bool(re.search("[a-z]", v)) and bool(re.search(r"[A-Z]", v[1:])) and len(v) >= 6) or _varied(v) >= 3
 
@@ -89,9 +111,9 @@ def plausible_password(v: str) -> bool:
 def proven(v: str) -> bool:
     """Whether a value is a credential by itself, however many hold it: a whole key, a token format or a random string.
     Documented samples, series like 0123456789abcdef and repeated characters aren't."""
-    if v.startswith("key:"):
-        return not NOT_LITERAL.search(v[4:])
-    if NOT_LITERAL.search(v) or entropy(v) < 3.0 or sum(abs(ord(a) - ord(b)) == 1 for a, b in zip(v, v[1:])) * 2 > len(v):
+    if v.startswith(("key:", "sample:")):
+        return v.startswith("key:")
+    if placeholder(v) or entropy(v) < 3.0 or sum(abs(ord(a) - ord(b)) == 1 for a, b in zip(v, v[1:])) * 2 > len(v):
         return False
     return bool(FORMATS.fullmatch(v)) or len(v) >= 20 and entropy(v) >= 3.3 and plausible_token(v, True)
 
@@ -99,11 +121,22 @@ def proven(v: str) -> bool:
 def searched(v: str) -> bool:
     """Whether a confirmed value is looked for everywhere: all but whole keys, which are found by their frame, and short
     plain words ("pass" in an address) and scraps of joined literals, which mean nothing elsewhere."""
-    if v.startswith("key:") or len(v) < GRAM:
+    if v.startswith(("key:", "sample:")) or len(v) < GRAM:
         return False
     return len(v) >= 6 or bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) or _varied(v) >= 3
 
 
+def plausible_phrase(v: str) -> bool:
+    """Words of a passphrase: several, and none of those that only a message about one has."""
+    words = v.split()
+    return len(words) >= 4 and not placeholder(v) and all(re.fullmatch(r"[A-Za-z0-9'-]+", w) for w in words) and not PHRASE_WORDS & {w.lower() for w in words}
+
+
+def plausible_bare(v: str) -> bool:
+    """A literal without quotes, spaced from its name: no identifier has such a mixture of digits and letters."""
+    return plausible_password(v) and len(v) >= 8 and len(re.findall(r"\d", v)) >= 2 and _varied(v) >= 3 and not re.search(r"[A-Za-z]{4}|[()\[\]]", v)
+
+
 def plausible_token(v: str, generic: bool) -> bool:
     """A literal that can be a token or key; under a generic name ("...Key") only if it looks random."""
     if not plausible_password(v) or "://" in v:
@@ -118,7 +151,7 @@ def _basic(v: str) -> bool:
         user, sep, password = base64.b64decode(v + "=" * (-len(v) % 4), validate=True).decode("utf-8").partition(":")
     except (binascii.Error, UnicodeDecodeError, ValueError):
         return False
-    return bool(sep) and len(password) >= 4 and not NOT_LITERAL.search(password)
+    return bool(sep) and len(password) >= 4 and not placeholder(password)
 
 
 def _unquoted(v: str) -> tuple[str, int]:
@@ -128,21 +161,29 @@ def _unquoted(v: str) -> tuple[str, int]:
     return v, 0
 
 
-def _assigned(m: re.Match, text: str) -> tuple[str, int, int] | None:
-    """(value, start, end) of an assignment to a credential name."""
-    words = [w.lower() for w in NAME_WORD.findall(m["name"])]
+def _kind(name: str) -> str | None:
+    """What a name says its value is: password, token or generic (a key that may be of any sort); None if no credential."""
+    words = [w.lower() for w in NAME_WORD.findall(name)]
     if not words or "public" in words:
         return None
-    last = words[-1]
+    last, before = words[-1], words[-2:-1]
     if last in ("key", "keys"):
-        kind = "token" if len(words) > 1 and words[-2] in ("api", "access", "secret", "auth", "signing", "encryption", "master", "private", "client", "service") else "generic"
-    elif last in PASSWORDS:
-        kind = "password"
-    elif last in TOKENS:
-        kind = "token"
-    elif last == "id" and words[-2:-1] == ["key"]:
-        return None
-    else:
+        return "token" if before and before[0] in KEY_OWNERS else "generic"
+    if last in PASSWORDS:
+        return "phrase" if last == "passphrase" else "password"
+    return "token" if last in TOKENS else None
+
+
+def _plausible(kind: str, v: str) -> bool:
+    if kind == "phrase" and plausible_phrase(v):
+        return True
+    return plausible_password(v) if kind in ("password", "phrase") else plausible_token(v, kind == "generic")
+
+
+def _assigned(m: re.Match, text: str) -> tuple[str, int, int] | None:
+    """(value, start, end) of an assignment to a credential name."""
+    kind = _kind(m["name"])
+    if not kind:
         return None
     raw, quoted = m["value"], m["value"][0] in "\"'`"
     start, more = m.start("value"), m["more"]
@@ -151,7 +192,12 @@ def _assigned(m: re.Match, text: str) -> tuple[str, int, int] | None:
         line = text.rfind("\n", 0, m.start()) + 1
         before = text[line : m.start()].lstrip("+- \t").lstrip("/#;*").strip().strip("\"'")
         spaced = m["op"].strip() in ("=", ":=") and m["op"] != m["op"].strip()
-        if spaced or (before and not re.fullmatch(r"(?:export|ARG|ENV|set|-D|-e|--env|env|//[\w./:-]*)", before) and not before.startswith("//") and "/:" not in before):
+        if spaced:
+            v = raw.rstrip(",;")
+            ends = re.compile(r"[ \t\r;]*(?:\n|$)").match(text, m.end())
+            ok = not before and ends and m["op"].strip() == "=" and not REFERENCE.match(v) and plausible_bare(v)
+            return (v, start, start + len(v)) if ok else None
+        if (before and not re.fullmatch(r"(?:export|ARG|ENV|set|-D|-e|--env|env|//[\w./:-]*)", before) and not before.startswith("//") and "/:" not in before):
             return None
         raw = raw.rstrip(",;)")
         if m["op"].strip() == ":" and not m["op"].endswith((" ", "\t")) and not m["q"]:
@@ -165,9 +211,9 @@ def _assigned(m: re.Match, text: str) -> tuple[str, int, int] | None:
         if more:
             parts = re.findall(r"[\"']([^\"'\n]*)[\"']", more)
             joined = v + "".join(parts)
-            ok = plausible_token(joined, kind == "generic") if kind != "password" else plausible_password(joined)
+            ok = _plausible(kind, joined)
             return (v, start + 1, m.end()) if ok else None
-    ok = plausible_password(v) if kind == "password" else plausible_token(v, kind == "generic")
+    ok = _plausible(kind, v)
     return (v, start + off, start + off + len(v)) if ok else None
 
 
@@ -188,31 +234,66 @@ def _named(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
         v, off = _unquoted(m[1])
         if plausible_token(v, False):
             yield m.start(1) + off, m.start(1) + off + len(v), v
+    for p in (SETTING, STORED, SETTER, ELEMENT, ATTRIBUTE):
+        for m in p.finditer(text, start, end):
+            kind, v = _kind(m["name"]), m["value"]
+            if kind == "generic" and p is SETTING:
+                kind = "token"
+            if kind and _plausible(kind, v) and (p is SETTING or not REFERENCE.match(v)):
+                yield m.start("value"), m.end("value"), v
+
+
+_names = ahocorasick.Automaton()
+for _w in (*NAMES, *SHORT_NAMES):
+    _names.add_word(_w, (_w, _w in SHORT_NAMES))
+_names.make_automaton()
+
+
+def _named_lines(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the lines that may hold a named credential: one walk over the text with all names at once."""
+    low = text.lower()
+    if len(low) != len(text):  # a few letters have longer small forms
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    done = -1
+    for end, (w, whole) in _names.iter(low):
+        if end < done:
+            continue
+        if whole:
+            a, b = end - len(w), end + 1
+            if a >= 0 and (low[a].isalnum() or low[a] == "_" or w[0] == "-" and not low[a].isspace()) or b < len(low) and (low[b].isalnum() or low[b] == "_"):
+                continue
+        line, done = text.rfind("\n", 0, end) + 1, text.find("\n", end)
+        done = done if done >= 0 else len(text)
+        yield line, done
+
+
+def _key_body(text: str, start: int, end: int) -> bool:
+    """Whether what stands between the marks of a key looks like one: a key's lines have no blanks but at their margins."""
+    lines = text[start:end].split("\n")
+    return sum(len(re.findall(r"\S[ \t]+\S", x)) for x in lines) <= 2 * len(lines) + 4
 
 
 def literals(text: str) -> list[tuple[int, int, str]]:
     """(start, end, value) of the literals in credential positions, in order, without overlaps."""
     got: list[tuple[int, int, str]] = []
-    for m in PRIVATE_KEY.finditer(text):
+    for m in PRIVATE_KEY.finditer(text) if "PRIVATE KEY" in text else ():
         end = KEY_END.search(text, m.end())
         nxt = PRIVATE_KEY.search(text, m.end())
-        if end and (not nxt or end.start() < nxt.start()) and end.start() - m.end() < 20_000:
+        if end and (not nxt or end.start() < nxt.start()) and _key_body(text, m.end(), end.start()):
             stop = end.end()
         else:  # cut off: as far as lines look like a key
-            stop = m.end() + len(re.match(r"(?:\\[nr]|[A-Za-z0-9+/=])*\r?", text[m.end() : m.end() + 20_000])[0])
+            stop = KEY_TEXT.match(text, m.end()).end()
             while k := KEY_LINE.match(text, stop):
                 stop = k.end()
         body = re.sub(r"[^A-Za-z0-9+/=]|\\[nr]", "", text[m.end() : stop])
         if len(body) >= 8 or stop >= len(text.rstrip()):
-            got.append((m.start(), stop, "key:" + body[:200]))
+            got.append((m.start(), stop, ("sample:" if placeholder(body) else "key:") + hashlib.blake2b(body.encode(), digest_size=16).hexdigest()))
     got += [(m.start(), m.end(), m[0]) for m in FORMATS.finditer(text)]
     if "://" in text:
-        got += [(m.start(1), m.end(1), m[1]) for m in URL.finditer(text) if len(m[1]) >= 4 and not NOT_LITERAL.search(m[1]) and not m[1].isdigit()]
-    at = 0
-    while m := NAMED.search(text, at):
-        line, at = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        at = at if at >= 0 else len(text)
-        got += _named(text, line, at)
+        got += [(m.start(1), m.end(1), m[1]) for m in URL.finditer(text) if len(m[1]) >= 4 and not placeholder(m[1]) and not m[1].isdigit()]
+        got += [(m.start(1), m.end(1), m[1]) for m in WEBHOOK.finditer(text) if len(m[1]) >= 30 and not placeholder(m[1])]
+    for line, end in _named_lines(text):
+        got += _named(text, line, end)
     out: list[tuple[int, int, str]] = []
     for s in sorted(got, key=lambda x: (x[0], -x[1])):
         if not out or s[0] >= out[-1][1]:
@@ -301,38 +382,96 @@ def _gram(value: str) -> int:
 
 
 def _rescan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One automaton for the values of a batch's texts: a confirmed value counts wherever it stands."""
     for b in batches:
+        automaton = ahocorasick.Automaton()
+        for v in set(b.column("values").flatten().to_pylist()):
+            automaton.add_word(v, v)
+        if not len(automaton):
+            continue
+        automaton.make_automaton()
         rows = []
-        for t, r, i, text, values in zip(*(b.column(c).to_pylist() for c in ("table_name", "row_id", "text_id", "text", "values"))):
-            automaton = ahocorasick.Automaton()
-            for v in values:
-                automaton.add_word(v, v)
-            automaton.make_automaton()
+        for t, r, i, text in zip(*(b.column(c).to_pylist() for c in ("table_name", "row_id", "text_id", "text"))):
             rows += [(t, r, i, text.count("\n", 0, s) + 1, s, e) for s, e in occurrences(text, automaton)]
         if rows:
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["table_name", "row_id", "text_id", "line_no", "s", "e"])
 
 
-def credentials(texts: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
+def _filter(confirmed: DataFrame, n: int):
+    """Broadcast bit field of the hashes of ``n`` confirmed values, 16 buckets for each within FILTER_BITS."""
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * n - 1).bit_length()))
+    known = np.zeros(1 << bits, bool)
+    for r in confirmed.select(F.shiftrightunsigned("h", 64 - bits).cast("int").alias("k")).distinct().toLocalIterator():  # at most 2**bits rows
+        known[r["k"]] = True
+    return confirmed.sparkSession.sparkContext.broadcast((bits, np.packbits(known)))
+
+
+_KEYS = ["table_name", "row_id", "text_id"]
+
+
+def _passing(field, hashes):
+    """Arrow function: (keys, h) of the hashes of a batch's texts that pass the bit field (any hash, if it is None)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if field is not None:
+            bits, packed = field.value
+            known = np.unpackbits(packed).astype(bool)
+        for b in batches:
+            at, h = hashes(b)
+            if field is not None:
+                ok = known[(h >> np.uint64(64 - bits)).astype(np.int64)]
+                at, h = at[ok], h[ok]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in _KEYS), pa.array(h.view(np.int64))], [*_KEYS, "h"])
+
+    return run
+
+
+def _listed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    lists = b.column("hs")
+    offsets = lists.offsets.to_numpy()
+    return np.repeat(np.arange(b.num_rows), np.diff(offsets)), lists.flatten().to_numpy().view(np.uint64)
+
+
+def _grams(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    got = [np.unique(np.concatenate(list(_hashes(t)) or [np.zeros(0, np.uint64)])) for t in b.column("text").to_pylist()]
+    return np.repeat(np.arange(len(got)), [len(h) for h in got]), np.concatenate(got)
+
+
+_ASKED = "table_name string, row_id long, text_id long, h long"
+
+
+def _met(asked: DataFrame, confirmed: DataFrame, few: bool) -> DataFrame:
+    """(keys, value) of the texts that hold a value's hash. Where both sides are shuffled, each hash is spread over SALT
+    parts, so that an anchor that stands in a third of the texts is no single task."""
+    if few:
+        return asked.join(F.broadcast(confirmed), "h").select(*_KEYS, "value")
+    salted = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return asked.withColumn("salt", F.pmod(F.xxhash64(*_KEYS), F.lit(SALT)).cast("int")).join(salted, ["h", "salt"]).select(*_KEYS, "value")
+
+
+def credentials(texts: DataFrame, most_owners: int = MOST_OWNERS, owners: DataFrame | None = None, broadcast_values: int = BROADCAST_VALUES, broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
     """Spans of credentials: table_name, row_id, text_id, line_no (from 1), s, e (characters from 0).
 
-    ``texts``: table_name, row_id, owner, text. Null and empty texts hold none; a null owner counts as one owner; rows
-    that repeat give their spans once; different texts of one row are kept apart by ``text_id``.
+    ``texts``: table_name, row_id, owner, text. ``owners``, if given, names the owners: owner (as in ``texts``), name;
+    only what is found is joined with it, not the texts. Null and empty texts hold none; a null owner counts as one
+    owner; rows that repeat give their spans once; different texts of one row are kept apart by ``text_id``.
     """
     kept = texts.where(F.col("text").isNotNull() & (F.col("text") != ""))
-    kept = kept.select("table_name", "row_id", F.coalesce("owner", F.lit("")).alias("owner"), "text", F.xxhash64("text").alias("text_id"))
-    found = cut(kept.mapInArrow(_scan, _FOUND))
-    most = max(most_owners, int(kept.select("owner").distinct().count() * OWNER_SHARE))
+    kept = kept.select("table_name", "row_id", F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("owner"), "text", F.xxhash64("text").alias("text_id"))
+    found = kept.mapInArrow(_scan, _FOUND)
+    named = texts.select(F.coalesce(F.col("owner").cast("string"), F.lit("")).alias("name"))
+    if owners is not None:
+        named = owners.select(F.col("owner").cast("string").alias("owner"), F.coalesce("name", F.lit("")).alias("name"))
+        found = found.join(named.groupBy("owner").agg(F.min("name").alias("name")), "owner", "left").drop("owner").withColumn("owner", F.coalesce("name", F.lit("")))
+    found = cut(found)
+    most = max(most_owners, int(named.select("name").distinct().count() * OWNER_SHARE))
 
     @F.pandas_udf("boolean")
     def proves(values):
         return values.map(proven)
 
-    held = found.groupBy("value").agg(F.count_distinct("owner").alias("owners"))
-    rare = held.where((F.col("owners") <= most) | proves("value")).select("value")
-    sure = found.join(rare, "value")
-
     @F.pandas_udf("boolean")
     def wanted(values):
         return values.map(searched)
@@ -341,46 +480,29 @@ def credentials(texts: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
     def gram(values):
         return values.map(_gram)
 
-    values = cut(rare.where(wanted("value")).select("value", _anchor(F.col("value")).alias("anchor")))
-    confirmed = values.where("anchor is not null").select("value", F.xxhash64("anchor").alias("h"))
-    bare = values.where("anchor is null").select("value", gram("value").alias("h"))
-
-    def filtered(keys: DataFrame):
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for r in keys.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("int").alias("k")).distinct().toLocalIterator():  # at most 2**FILTER_BITS rows
-            bits[r["k"]] = True
-        return kept.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    packed, packed_grams = filtered(confirmed), filtered(bare)
-
-    @F.pandas_udf("array<bigint>")
-    def passing(hashes):
-        known = np.unpackbits(packed.value).astype(bool)
-        return hashes.map(lambda x: [int(h) for h in x if known[(int(h) % (1 << 64)) >> (64 - FILTER_BITS)]])
-
-    def passing_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(packed_grams.value).astype(bool)
-        for b in batches:
-            got = [np.unique(np.concatenate([h[known[h >> np.uint64(64 - FILTER_BITS)]] for h in _hashes(t)] or [np.zeros(0, np.uint64)])) for t in b.column("text").to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(got)), [len(h) for h in got]), pa.int64())
-            if len(at):
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keys), pa.array(np.concatenate(got).view(np.int64), pa.int64())], [*keys, "h"])
-
-    keys = ["table_name", "row_id", "text_id"]
-    hashed = kept.select(*keys, F.transform(_runs(F.col("text")), lambda w: F.xxhash64(w)).alias("hs"))
-    asked = hashed.select(*keys, F.explode(passing("hs")).alias("h")).join(confirmed, "h")
-    if packed_grams.value.any():
-        by_gram = kept.select(*keys, "text").mapInArrow(passing_grams, "table_name string, row_id long, text_id long, h long")
-        asked = asked.unionByName(by_gram.join(bare, "h"))
-    routed = asked.groupBy(*keys).agg(F.collect_set("value").alias("values"))
-    # the values of one text: those of which it has an anchor or a run of GRAM characters
-    again = kept.dropDuplicates(keys).join(routed, keys).select(*keys, "text", "values")
+    held = found.groupBy("value").agg(F.count_distinct("owner").alias("owners"))
+    rare = cut(held.where((F.col("owners") <= most) | proves("value")).select("value", wanted("value").alias("search"), _anchor(F.col("value")).alias("anchor")))
+    sure = found.join(rare.select("value"), "value")
+    confirmed = rare.where("search and anchor is not null").select("value", F.xxhash64("anchor").alias("h"))
+    bare = rare.where("search and anchor is null").select("value", gram("value").alias("h"))
+    n, n_bare = confirmed.count(), bare.count()
+    tokens = kept.select(*_KEYS, F.transform(_runs(F.col("text")), lambda w: F.xxhash64(w)).alias("hs"))
+    if n <= broadcast_values:
+        asked = _met(tokens.select(*_KEYS, F.explode("hs").alias("h")), confirmed, True)
+    else:
+        asked = _met(tokens.mapInArrow(_passing(_filter(confirmed, n), _listed), _ASKED), confirmed, False)
+    if n_bare:
+        grams = kept.select(*_KEYS, "text").mapInArrow(_passing(_filter(bare, n_bare), _grams), _ASKED)
+        asked = asked.unionByName(_met(grams, bare, n_bare <= broadcast_values))
+    routed = cut(asked.groupBy(*_KEYS).agg(F.collect_set("value").alias("values")))
+    # no text moves while those to be searched are few; else Spark filters the texts before it moves them
+    few = routed.count() <= broadcast_texts and routed.select(F.sum(F.size("values"))).first()[0] or 0
+    again = kept.join(F.broadcast(routed) if 0 < few <= broadcast_values else routed, _KEYS).select(*_KEYS, "text", "values")
     hits = again.mapInArrow(_rescan, _HITS)
-    cols = ["table_name", "row_id", "text_id", "line_no", "s", "e"]
+    cols = [*_KEYS, "line_no", "s", "e"]
     return sure.select(*cols).unionByName(hits.select(*cols)).distinct()
 
 
-
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, spans = b.column("text").to_pylist(), b.column("spans").to_pylist()
@@ -393,7 +515,7 @@ def redacted(texts: DataFrame, spans: DataFrame) -> DataFrame:
 
     Line structure and everything outside the spans stay as they were; null and empty texts come out as they are.
     """
-    keys = ["table_name", "row_id", "text_id"]
+    keys = _KEYS
     kept = texts.select("table_name", "row_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_id")).dropDuplicates(keys)
     per = spans.groupBy(*keys).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return kept.join(per, keys, "left").select("table_name", "row_id", "text", "spans").mapInArrow(_redact, "table_name string, row_id long, text string, n_spans int")
