@@ -113,6 +113,18 @@ def recommendations(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.posexplode(F.when(F.size(held) > 0, held).otherwise(F.array(F.lit("Repositories are well aligned")))).alias("position", "recommendation"))
 
 
+def compare(functions: DataFrame, files: DataFrame, target: str) -> DataFrame:
+    """One row: duplicates, severe conflicts and gaps with the target, consistency, differing files, and the advice."""
+    m = duplicates(functions).agg(F.count(F.lit(1)).alias("duplicates"))
+    for part in (
+        conflicts(functions, target).agg(F.count_if(F.col("severity") == "high").alias("high_conflicts")), gaps(functions, target).agg(F.count_if(F.col("priority") == "high").alias("high_gaps")),
+        consistency(functions, files).select("overall"), file_overlap(files).agg(F.count_if(~F.col("identical")).alias("differing_files")),
+    ):
+        m = m.crossJoin(part)  # rows of one each
+    advice = recommendations(m).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "recommendation"))), lambda x: x["recommendation"]).alias("advice"))
+    return m.crossJoin(advice)
+
+
 def repo_summary(files: DataFrame, functions: DataFrame) -> DataFrame:
     """Per repository: files and functions."""
     a = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("file_count"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import dot_text, mermaid_text
+from ..functions.text import dot_text, mermaid_text, node_id
 from ..session import cut
 
 
@@ -47,10 +47,10 @@ def called_by(calls: DataFrame, functions: DataFrame) -> DataFrame:
 def bfs(edges: DataFrame, start: DataFrame, depth: int, source: str = "from_id", target: str = "to_id") -> DataFrame:
     """(node, level) of all nodes within ``depth`` steps of the start nodes, each at its smallest level.
 
-    One join a level, the frontier only; visited nodes are taken out by an anti join. Materialised level by level in
-    the shared checkpoint folder. Depth is cut to 1..5.
+    The distinct edges are written once; then one join a level, of the frontier only (Spark broadcasts a small one, so
+    that the edges stay where they are), and visited nodes are taken out by an anti join. Depth is cut to 1..5.
     """
-    e = edges.select(F.col(source).alias("node"), F.col(target).alias("next")).where(F.col("next").isNotNull())
+    e = cut(edges.select(F.col(source).alias("node"), F.col(target).alias("next")).where(F.col("next").isNotNull()).distinct())
     seen = start.select("node").distinct().withColumn("level", F.lit(0))
     front = seen
     for level in range(1, max(1, min(depth, 5)) + 1):
@@ -69,8 +69,11 @@ def neighbourhood(edges: DataFrame, node: str, depth: int, callers_depth: int =
     return e.join(ahead, "from_id", "left_semi").unionByName(e.join(back, "to_id", "left_semi").select("from_id", "to_id")).distinct()
 
 
-def call_tree(edges: DataFrame, node: str, depth: int) -> DataFrame:
-    """(node, level, parent): nodes reached, each below its smallest predecessor of the level before."""
+def call_tree(edges: DataFrame, node: str, depth: int, callers: bool = False) -> DataFrame:
+    """(node, level, parent): nodes reached, each below its smallest predecessor of the level before; against the calls
+    with ``callers``."""
+    if callers:
+        edges = edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
     start = edges.sparkSession.createDataFrame([(node,)], "node string")
     levels = bfs(edges, start, depth)
     up = levels.select(F.col("node").alias("parent"), (F.col("level") + 1).alias("level"))
@@ -85,9 +88,8 @@ def file_calls(calls: DataFrame) -> DataFrame:
 
 
 def mermaid(edges: DataFrame) -> DataFrame:
-    """Lines of a Mermaid graph, one an edge (ids by the text's hash, labels escaped)."""
-    i = lambda c: F.concat(F.lit("n"), F.hex(F.xxhash64(c)))
-    return edges.select(F.concat(F.lit("    "), i("from_id"), F.lit('["'), mermaid_text("from_id"), F.lit('"] --> '), i("to_id"), F.lit('["'), mermaid_text("to_id"), F.lit('"]')).alias("line"))
+    """Lines of a Mermaid graph, one an edge (ids with all but letters and digits as underscores, labels escaped)."""
+    return edges.select(F.concat(F.lit("    "), node_id("from_id"), F.lit('["'), mermaid_text("from_id"), F.lit('"] --> '), node_id("to_id"), F.lit('["'), mermaid_text("to_id"), F.lit('"]')).alias("line"))
 
 
 def dot(edges: DataFrame) -> DataFrame:

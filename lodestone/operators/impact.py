@@ -24,6 +24,19 @@ def affected_functions(calls: DataFrame, functions: DataFrame, changed: DataFram
     return out.select("repo_id", "path", "name", F.col("c.callee").alias("calls"), F.coalesce("is_public", F.lit(False)).alias("is_public"))
 
 
+def change_context(calls: DataFrame, functions: DataFrame, changed: DataFrame) -> DataFrame:
+    """Changed files with their functions (and public ones), the functions elsewhere that call them and what they call."""
+    keys = ["repo_id", "path"]
+    ch = changed.select(*keys).distinct()
+    own = functions.join(ch, keys, "left_semi")
+    held = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_functions"), F.count_if("is_public").alias("n_public"))
+    names = own.select("repo_id", "path", F.col("name").alias("callee")).distinct()
+    up = calls.select("repo_id", "callee", "caller_path", "caller").join(names, ["repo_id", "callee"]).where(F.col("caller_path") != F.col("path")).groupBy(*keys).agg(F.count_distinct("caller_path", "caller").alias("n_callers"))
+    down = calls.select("repo_id", F.col("caller_path").alias("path"), "callee").join(ch, keys, "left_semi").groupBy(*keys).agg(F.count_distinct("callee").alias("n_callees"))
+    z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return ch.join(held, keys, "left").join(up, keys, "left").join(down, keys, "left").select(*keys, z("n_functions"), z("n_public"), z("n_callers"), z("n_callees"))
+
+
 def affected_routes(routes: DataFrame, calls: DataFrame, functions: DataFrame, changed: DataFrame) -> DataFrame:
     """Routes in changed files, and routes whose handler (of the same file) calls a changed function."""
     keys = ["repo_id", "path"]

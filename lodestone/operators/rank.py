@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import ask_keywords
 
@@ -81,30 +83,44 @@ def prefix_budget(df: DataFrame, by: list[str], order: list[Column | str], cost:
     return df.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
 
 
+def _folding(budget: int, has_short: bool, most: int | None):
+    """Arrow function over rows sorted by group and score: one running sum, whatever the number of candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used, seen, begun = None, 0, 0, False
+        for b in batches:
+            at, forms, sums = [], [], []
+            for i, (q, c, m) in enumerate(zip(b.column("q").to_pylist(), b.column("c").to_pylist(), b.column("m").to_pylist())):
+                if not begun or q != group:
+                    group, used, seen, begun = q, 0, 0, True
+                seen += 1
+                if most and seen > most:
+                    continue
+                full = used + c <= budget
+                if full or has_short and used + m <= budget:
+                    used += c if full else m
+                    at.append(i)
+                    forms.append("full" if full else "summary")
+                    sums.append(used)
+            if at:
+                yield pa.RecordBatch.from_arrays([b.column("q").take(pa.array(at)), b.column("k").take(pa.array(at)), pa.array(forms), pa.array(sums, pa.int64())], ["q", "k", "form", "used"])
+
+    return run
+
+
 def pack(candidates: DataFrame, by: str, key: str, score: str, cost: str, budget: int, summary_cost: str | None = None, most: int | None = None) -> DataFrame:
     """Greedy budget per query: by score (ties by key), what does not fit is tried in its summary form, else skipped.
 
-    Output: by, key, form (full or summary), used after it. The fold runs over the candidates of a query in one array;
-    candidates whose cheapest form alone exceeds the budget are dropped before, as they can never be taken.
-    ``most`` bounds a query's candidates to the best-scored ones (a report's own limit); unset, all take part.
+    Output: by, key, form (full or summary), used after it. The candidates of a query are sorted and streamed past one
+    running sum, so that no list of them is ever held; those whose cheapest form alone exceeds the budget are dropped
+    before, as they can never be taken. Null scores and costs take no part. ``most`` bounds a query's candidates to the
+    best-scored ones (a report's own limit); unset, all take part.
     """
     small = F.col(summary_cost) if summary_cost else F.col(cost)
-    rows = candidates.where((F.least(F.col(cost), small) <= budget) & F.lit(budget > 0)).select(F.col(by).alias("q"), F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"), F.col(cost).cast("long").alias("c"), small.cast("long").alias("m")).alias("r"))
-    if most:
-        w = Window.partitionBy("q").orderBy("r")
-        rows = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
-    kind = candidates.schema[key].dataType
-    picked = T.ArrayType(T.StructType([T.StructField("k", kind), T.StructField("form", T.StringType()), T.StructField("used", T.LongType())]))
-    lists = rows.groupBy("q").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(picked).alias("out"))
-
-    def step(acc, r):
-        full, short = acc["used"] + r["c"] <= budget, (acc["used"] + r["m"] <= budget) & F.lit(summary_cost is not None)
-        used = F.when(full, acc["used"] + r["c"]).when(short, acc["used"] + r["m"]).otherwise(acc["used"])
-        entry = F.array(F.struct(r["k"].alias("k"), F.when(full, "full").otherwise("summary").alias("form"), used.alias("used"))).cast(picked)
-        return F.struct(used.alias("used"), F.when(full | short, F.concat(acc["out"], entry)).otherwise(acc["out"]).alias("out"))
-
-    return lists.select(F.col("q").alias(by), F.explode(F.aggregate("rs", start, step, lambda a: a["out"])).alias("p")).select(by, F.col("p.k").alias(key), "p.form", "p.used")
+    rows = candidates.where((F.least(F.col(cost), small) <= budget) & F.lit(budget > 0) & F.col(score).isNotNull()).select(F.col(by).alias("q"), F.col(key).alias("k"), F.col(score).cast("double").alias("s"), F.col(cost).cast("long").alias("c"), small.cast("long").alias("m"))
+    kinds = f"q {candidates.schema[by].dataType.simpleString()}, k {candidates.schema[key].dataType.simpleString()}, form string, used long"
+    ordered = rows.repartition("q").sortWithinPartitions("q", F.desc("s"), "k")
+    return ordered.mapInArrow(_folding(budget, summary_cost is not None, most), kinds).select(F.col("q").alias(by), F.col("k").alias(key), "form", "used")
 
 
 def top_per_category(df: DataFrame, category: str, score: str, ties: list[str], limits: dict[str, int]) -> DataFrame:

@@ -59,4 +59,6 @@ def classify(question: Column) -> Column:
 
 
 # fixed values: confidence of the answer by intent
-CONFIDENCE = {"function": 0.95, "type": 0.95, "side_effect": 0.9, "concept": 0.85, "callers": 0.95, "calls": 0.95, "flow": 0.8, "file": 0.95, "package": 0.9, "architecture": 0.9, "general": 0.3}
+CONFIDENCE = {"function": 0.95, "type": 0.95, "side_effect": 0.9, "concept": 0.85, "callers": 0.95, "calls": 0.95, "flow": 0.9, "file": 0.95, "package": 0.95, "architecture": 0.8, "general": 0.3}
+# fixed values: where nothing is found: these intents, and the default of all others
+NOT_FOUND, DEFAULT_CONFIDENCE = {"function": 0.5, "type": 0.5, "package": 0.5, "general": 0.3}, 0.8

@@ -135,6 +135,17 @@ def build_index(functions: DataFrame, taxonomy: str = "index") -> DataFrame:
     return functions.select("repo_id", "path", "name", "line_start", F.explode(every).alias("t")).where(F.col("t.term") != "").select("repo_id", "t.kind", "t.term", "path", "name", "line_start")
 
 
+def build_local_index(functions: DataFrame) -> DataFrame:
+    """The smaller index of a local project: whole names, effects, patterns (as concepts) and kinds of errors.
+
+    ``functions``: repo_id, path, name, line_start, side_effects, patterns, error_kinds.
+    """
+    none = F.array().cast("array<string>")
+    terms = lambda kind, a: F.transform(a, lambda t: F.struct(F.lit(kind).alias("kind"), F.lower(t).alias("term")))
+    every = F.concat(terms("name", F.array("name")), terms("effect", F.coalesce("side_effects", none)), terms("concept", F.coalesce("patterns", none)), terms("error", F.coalesce("error_kinds", none)))
+    return functions.select("repo_id", "path", "name", "line_start", F.explode(every).alias("t")).where(F.col("t.term") != "").select("repo_id", "t.kind", "t.term", "path", "name", "line_start")
+
+
 def build_type_index(types: DataFrame) -> DataFrame:
     """Index terms of types: own name and field types (type), kind and camel words of three letters or more (concept)."""
     terms = lambda kind, a: F.transform(a, lambda t: F.struct(F.lit(kind).alias("kind"), F.lower(t).alias("term")))

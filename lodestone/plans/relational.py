@@ -95,6 +95,36 @@ def s_vector_delete(spark, d):
     return S.without(v, v.where(F.col("label").isin(1, 3)), ["label"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH p AS (SELECT pr_id, string_split(chr(10) || diff, chr(10) || 'diff --git a/')[2:] AS f FROM pull_requests WHERE diff IS NOT NULL)
+SELECT pr_id, CAST(i - 1 AS INT) AS position, CAST(length(f[i]) + 13 + CASE WHEN i < len(f) THEN 1 ELSE 0 END AS INT) AS n_chars FROM (SELECT pr_id, f, unnest(range(1, len(f) + 1)) AS i FROM p)""")
+def s_diff_patches(spark, d):
+    """The patch of every file, to its last character."""
+    return S.split_diff(table(spark, d, "pull_requests"), "pr_id", "diff").select("pr_id", "position", F.length("patch").alias("n_chars"))
+
+
+@query("SELECT pr_file_id, CASE WHEN regexp_matches(patch, '(?m)^new file mode ') THEN 'added' WHEN regexp_matches(patch, '(?m)^deleted file mode ') THEN 'removed' WHEN regexp_matches(patch, '(?m)^rename from ') THEN 'renamed' ELSE 'modified' END AS status FROM (SELECT DISTINCT pr_file_id, patch FROM pr_files WHERE patch IS NOT NULL)")
+def s_patch_status(spark, d):
+    """Kind of change by the lines of a patch."""
+    return table(spark, d, "pr_files").where("patch IS NOT NULL").select("pr_file_id", "patch").distinct().select("pr_file_id", S.patch_status(F.col("patch")).alias("status"))
+
+
+@query("SELECT repo_id, snapshot_no, analyzed_at, row_number() OVER (ORDER BY analyzed_at DESC, repo_id, snapshot_no) AS place FROM (SELECT DISTINCT repo_id, snapshot_no, analyzed_at FROM repo_snapshots) QUALIFY place <= 100")
+def s_listing(spark, d):
+    """Contexts, the latest analysed first, a page of a hundred."""
+    r = table(spark, d, "repo_snapshots").select("repo_id", "snapshot_no", "analyzed_at").distinct()
+    w = Window.orderBy(F.desc("analyzed_at"), "repo_id", "snapshot_no")
+    return S.listing(r, ["repo_id", "snapshot_no"], 100).withColumn("place", F.row_number().over(w).cast("long"))
+
+
+@query("SELECT DISTINCT id, name, total, version FROM (SELECT 'v' || (vec_id % 500) AS id, max(vec_id) AS m, 'n' || max(vec_id) AS name, map(['label'], [CAST(arg_max(label, vec_id) AS VARCHAR)])['label'] AS total, 'new' AS version FROM embeddings WHERE vec_id % 3 > 0 GROUP BY 1 UNION ALL SELECT 'v' || (vec_id % 500), max(vec_id), 'n' || max(vec_id), map(['label'], [CAST(arg_max(label, vec_id) AS VARCHAR)])['label'], 'old' FROM embeddings WHERE vec_id % 3 = 0 AND 'v' || (vec_id % 500) NOT IN (SELECT 'v' || (vec_id % 500) FROM embeddings WHERE vec_id % 3 > 0) GROUP BY 1)")
+def s_store_upsert(spark, d):
+    """Rows with maps and arrays put in place by key; of several the last by order holds."""
+    v = table(spark, d, "embeddings")
+    row = lambda df, version: df.select(F.concat(F.lit("v"), F.col("vec_id") % 500).alias("id"), F.concat(F.lit("n"), "vec_id").alias("name"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"), F.col("embedding").alias("vector"), F.col("vec_id").alias("at"), F.lit(version).alias("version"))
+    held = S.upsert(row(v.where("vec_id % 3 = 0"), "old").where(F.lit(False)), row(v.where("vec_id % 3 = 0"), "old"), ["id"], order="at")
+    return S.upsert(held, row(v.where("vec_id % 3 > 0"), "new"), ["id"], order="at").select("id", "name", F.col("metadata")["label"].alias("total"), "version")
+
+
 # --- text ---------------------------------------------------------------------------------------------------------------
 
 _TOK = "list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g'), '_|\\.|/|::', ' ', 'g')), '[^\\p{L}\\p{Nd}]+'), lambda t: strlen(t) >= 2 AND NOT list_contains([%s], t))" % ", ".join(f"'{w}'" for w in dict.fromkeys(X.EMBED_STOP))
@@ -134,23 +164,17 @@ SELECT doc_id, CAST(rank % 256 AS INT) AS slot, round(sum((1 + ln(c)) * CASE WHE
 )
 def c_term_weights(spark, d):
     """Weight of every slot of every text, over the whole vocabulary."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL")
-    n = table(spark, d, "documents").count()
-    df = embedding.document_frequency(docs, "text")
-    # the whole vocabulary ranked without one task: ranks within df classes on top of the words in more documents
-    sizes = df.groupBy("df").agg(F.count(F.lit(1)).alias("m"))
-    above = sizes.withColumn("above", F.coalesce(F.sum("m").over(Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("df", "above")
-    ranked = df.join(above, "df").withColumn("rank", F.row_number().over(Window.partitionBy("df").orderBy("word")) - 1 + F.col("above"))
-    vocab = ranked.select("word", (F.col("rank") % 256).alias("slot"), F.ln((F.lit(n) + 1) / (F.col("df") + 1)).alias("idf"))
-    return embedding.term_weights(docs, "doc_id", "text", vocab).select(F.col("key").alias("doc_id"), "slot", F.round("weight", 6).alias("weight"))
+    docs = table(spark, d, "documents")
+    terms = embedding.term_counts(docs.where("text IS NOT NULL"), "doc_id", "text")
+    vocab = embedding.ranked_vocabulary(embedding.frequencies(terms), docs.count())
+    return embedding.weights(terms, vocab).select(F.col("key").alias("doc_id"), "slot", F.round("weight", 6).alias("weight"))
 
 
 @query()
 def q_embed(spark, d):
-    """Unit vectors of all texts (largest slot and norm shown)."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL")
-    v = embedding.embed(docs, "doc_id", "text", embedding.vocabulary(docs, "text"))
-    return v.select(F.col("key").alias("doc_id"), F.round(V.magnitude(F.col("vector")), 6).alias("norm"), F.size("vector").alias("dimension"))
+    """Unit vectors of all texts, all slots that hold something."""
+    v, _ = embedding.index(table(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text")
+    return v.select(F.col("key").alias("doc_id"), F.posexplode(F.transform("vector", lambda x: F.round(x, 6))).alias("slot", "x")).where("x <> 0")
 
 
 def _kw_sql(stop: tuple, trim: str, least: int) -> str:
@@ -348,12 +372,12 @@ def q_lookup(spark, d):
 
 
 @query("""SELECT kind, repo_id, path, name FROM (SELECT 0 AS o, 'function' AS kind, repo_id, path, name FROM {fn} WHERE contains(lower(name), 'shard') OR contains(lower(signature), 'shard') UNION ALL
-SELECT DISTINCT 2, 'file', repo_id, path, path FROM {fn} WHERE contains(lower(path), 'shard')) ORDER BY o, repo_id, path, name LIMIT 100""")
+SELECT 1, 'type', p_brand, p_type, p_name FROM part WHERE contains(lower(p_name), 'shard') UNION ALL SELECT DISTINCT 2, 'file', repo_id, path, path FROM {fn} WHERE contains(lower(path), 'shard')) ORDER BY o, repo_id, path, name LIMIT 100""")
 def q_keyword_search(spark, d):
     """Keywords over functions and files of all repositories."""
     none = F.lit(None).cast("string")
     f = B.functions(spark, d).withColumn("description", none)
-    types = f.where(F.lit(False)).select("repo_id", "path", "name", "description")
+    types = table(spark, d, "part").select(F.col("p_brand").alias("repo_id"), F.col("p_type").alias("path"), F.col("p_name").alias("name"), none.alias("description"))
     files = f.select("repo_id", "path").distinct().withColumn("purpose", none)
     return search.keyword_search(f, types, files, "the shard", 100)
 
@@ -432,10 +456,52 @@ def q_call_tree(spark, d):
     return graph.call_tree(e, e.agg(F.min("from_id")).first()[0] or "", 2)
 
 
-@query("""SELECT '  "' || replace(replace(from_id, '\\', '\\\\'), '"', '\\"') || '" -> "' || replace(replace(to_id, '\\', '\\\\'), '"', '\\"') || '";' AS line FROM {edges} WHERE starts_with(to_id, 'corelib/')""")
+@query("""SELECT '  "' || replace(replace(from_id, '\\', '\\\\'), '"', '\\"') || '" -> "' || replace(replace(to_id, '\\', '\\\\'), '"', '\\"') || '";' AS line FROM {edges}""")
 def q_dot(spark, d):
-    """Q19, C17: DOT lines of the edges into one package."""
-    return graph.dot(B.edges(spark, d).where(F.col("to_id").startswith("corelib/")))
+    """Q19, C17: DOT lines of all edges."""
+    return graph.dot(B.edges(spark, d))
+
+
+@query("""SELECT '    ' || regexp_replace(from_id, '[^A-Za-z0-9_]', '_', 'g') || '["' || replace(replace(from_id, '"', '#quot;'), chr(10), ' ') || '"] --> ' || regexp_replace(to_id, '[^A-Za-z0-9_]', '_', 'g') || '["' || replace(replace(to_id, '"', '#quot;'), chr(10), ' ') || '"]' AS line FROM {edges}""")
+def q_mermaid(spark, d):
+    """Q19, C17: Mermaid lines of all edges."""
+    return graph.mermaid(B.edges(spark, d))
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT (SELECT max(to_id) FROM {{edges}}) AS node, 0 AS level UNION SELECT e.from_id, r.level + 1 FROM r JOIN {{edges}} e ON e.to_id = r.node WHERE r.level < 2), l AS (SELECT node, min(level) AS level FROM r GROUP BY 1)
+SELECT l.node, l.level, min(e.to_id) AS parent FROM l LEFT JOIN (SELECT e.from_id, e.to_id, p.level FROM {{edges}} e JOIN l p ON p.node = e.to_id) e ON e.from_id = l.node AND e.level = l.level - 1 GROUP BY ALL""")
+def q_caller_tree(spark, d):
+    """Callers of the largest id, two levels."""
+    e = B.edges(spark, d)
+    return graph.call_tree(e, e.agg(F.max("to_id")).first()[0] or "", 2, callers=True)
+
+
+@query("SELECT (SELECT count(*) FROM {edges} e JOIN (SELECT min(from_id) AS n FROM {edges}) m ON e.from_id = m.n OR e.to_id = m.n) AS n_edges")
+def q_neighbourhood(spark, d):
+    """Q17, K9: edges from and to one function."""
+    e = B.edges(spark, d)
+    return graph.neighbourhood(e, e.agg(F.min("from_id")).first()[0] or "", 1).agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+@query("SELECT repo_id, caller_path, caller, min(line) AS line FROM {calls} WHERE callee = (SELECT max(callee) FROM {calls}) GROUP BY ALL")
+def j_callers_of(spark, d):
+    """Who calls one function, each once."""
+    c = B.calls(spark, d)
+    return graph.callers(c, c.agg(F.max("callee")).first()[0] or "")
+
+
+@query("SELECT repo_id, caller_path, caller, line FROM {calls} WHERE callee = (SELECT max(callee) FROM {calls})")
+def j_every_call_of(spark, d):
+    """Every call of one function."""
+    c = B.calls(spark, d)
+    return graph.callers(c, c.agg(F.max("callee")).first()[0] or "", distinct=False)
+
+
+@query("SELECT repo_id, callee, callee_package, line, call_type FROM {calls} WHERE caller = (SELECT max(caller) FROM {calls})")
+def j_callees_of(spark, d):
+    """What one function calls."""
+    c = B.calls(spark, d)
+    return graph.callees(c, c.agg(F.max("caller")).first()[0] or "")
 
 
 @query("SELECT r_name AS id, count(n_nationkey) AS repo_count FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
@@ -727,14 +793,30 @@ def q_relevance(spark, d):
     return B.functions(spark, d).select("line_start", F.round(rank.relevance(F.array(F.lit("order"), F.lit("plan")), F.col("name"), n, F.col("signature"), n), 6).alias("score"))
 
 
-@query("SELECT line_start, (3.0 * contains(lower(name), 'graph')::INT + contains(lower(signature), 'graph')::INT + is_public::INT + CASE WHEN lower(name) = 'main' THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(name), 'handler|server|init|new') THEN 1.5 ELSE 0 END)::DOUBLE AS score FROM {fn}")
+_QKW = " + ".join(f"3.0 * contains(lower(name), '{k}')::INT + contains(lower(signature), '{k}')::INT" for k in ("graph", "design"))
+
+
+@query(f"SELECT line_start, ({_QKW} + is_public::INT + CASE WHEN lower(name) = 'main' THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(name), 'handler|server|init|new') THEN 1.5 ELSE 0 END)::DOUBLE AS score FROM {{fn}}")
 def q_question_score(spark, d):
-    """Q8: scores of all functions for a question about architecture."""
-    # "structure" makes it one; its keywords are "graph" and "structure"
-    q = F.lit("what is the graph design?")
-    s = rank.question_function_score(q, F.col("name"), F.lit(""), F.col("signature"), F.col("is_public"))
-    extra = (F.contains(F.lower("name"), F.lit("design")).cast("double") * 3 + F.contains(F.lower("signature"), F.lit("design")).cast("double"))
-    return B.functions(spark, d).select("line_start", (s - extra).alias("score"))
+    """Q8: scores of all functions for a question about architecture; its keywords are "graph" and "design"."""
+    return B.functions(spark, d).select("line_start", rank.question_function_score(F.lit("what is the graph design?"), F.col("name"), F.lit(""), F.col("signature"), F.col("is_public")).alias("score"))
+
+
+@query("""SELECT path, CASE WHEN regexp_matches(lower(path), 'vendor/|node_modules/') THEN 0.0 ELSE (2.0 * contains(lower(path), 'order')::INT + 1.5 * contains(lower(path), 'order')::INT + CASE WHEN contains(lower(path), 'main') THEN 2.0 ELSE 0 END + CASE WHEN regexp_matches(lower(path), 'config|server') THEN 1.5 ELSE 0 END
+  + 2.0 * contains(lower(path), 'layout')::INT + 1.5 * contains(lower(path), 'layout')::INT) * CASE WHEN ends_with(path, '_test.go') THEN 0.5 ELSE 1 END END::DOUBLE AS score FROM (SELECT DISTINCT path FROM {fn})""")
+def q_file_score(spark, d):
+    """Scores of all files for a question."""
+    f = B.functions(spark, d).select("path").distinct()
+    return f.select("path", rank.question_file_score(F.lit("order layout"), F.col("path"), F.col("path"), F.array().cast("array<string>")).alias("score"))
+
+
+@query("SELECT p_partkey, (3.0 * contains(lower(p_name), 'a1')::INT + 1.5 * contains(lower(p_type), 'a1')::INT + 3.0 * contains(lower(p_name), 'steel')::INT + 1.5 * contains(lower(p_type), 'steel')::INT + 0.5 * (contains(lower(p_brand), 'steel')::INT + contains(lower(p_brand), 'a1')::INT) + (p_size > 20)::INT + (p_size > 40)::INT)::DOUBLE AS score FROM part")
+def q_type_score(spark, d):
+    """Scores of types (parts) for a question."""
+    t = table(spark, d, "part")
+    none = F.array().cast("array<string>")
+    s = rank.question_type_score(F.lit("steel a1x a1"), F.col("p_name"), F.col("p_type"), F.array("p_brand"), none, F.col("p_size") > 20, F.when(F.col("p_size") > 40, "interface").otherwise("struct"))
+    return t.select("p_partkey", s.alias("score"))
 
 
 @query("WITH x AS (SELECT repo_id, line_start, sum(CAST(floor(strlen(signature) / 4.0) AS BIGINT)) OVER (PARTITION BY repo_id ORDER BY path, line_start) AS used FROM {fn}) SELECT repo_id, line_start, CAST(used AS BIGINT) AS used FROM x WHERE used <= 400")
@@ -806,16 +888,17 @@ def f_severity(spark, d):
 
 # --- extraction ---------------------------------------------------------------------------------------------------------
 
-_SIG = "regexp_matches(signature, '^\\s*func \\w+\\(')"
+# every signature that the language's grammar allows: blanks, receivers
+_SIG = "regexp_matches(signature, '^\\s*func\\s*(\\([^()]*\\)\\s*)?\\w+\\s*\\(')"
 
 
 def _sources(spark, d):
     """One small source text per function, made of its signature."""
     sig = F.regexp_replace("signature", r"\s*\{?\s*$", "")
-    return B.functions(spark, d).where(F.col("signature").rlike(r"^\s*func \w+\(")).select("line_start", "repo_id", F.concat(F.col("line_start").cast("string"), F.lit(".go")).alias("path"), F.concat(F.lit("package p\n\n"), sig, F.lit(" {\n\tx.Run()\n}\n")).cast("binary").alias("content"))
+    return B.functions(spark, d).where(F.col("signature").rlike(r"^\s*func\s*(\([^()]*\)\s*)?\w+\s*\(")).select("line_start", "repo_id", F.concat(F.col("line_start").cast("string"), F.lit(".go")).alias("path"), F.concat(F.lit("package p\n\n"), sig, F.lit(" {\n\tx.Run()\n}\n")).cast("binary").alias("content"))
 
 
-@query(f"SELECT line_start, regexp_extract(signature, 'func (\\w+)', 1) AS name, regexp_matches(signature, 'func [A-Z]') AS is_public, CASE WHEN regexp_matches(signature, '\\(\\s*ctx context\\.Context') THEN 'context.Context' ELSE '' END AS first_context FROM {{fn}} WHERE {_SIG}")
+@query(f"SELECT line_start, regexp_extract(signature, '^\\s*func\\s*(?:\\([^()]*\\)\\s*)?(\\w+)', 1) AS name, regexp_matches(signature, '^\\s*func\\s*(\\([^()]*\\)\\s*)?[A-Z]') AS is_public, CASE WHEN regexp_matches(signature, '\\w\\s*\\(\\s*ctx\\s+context\\s*\\.\\s*Context') THEN 'context.Context' ELSE '' END AS first_context FROM {{fn}} WHERE {_SIG}")
 def x_extract(spark, d):
     """Functions parsed from source texts."""
     e = extraction.functions(extraction.extract(_sources(spark, d)))
@@ -834,7 +917,7 @@ def x_extract_detail(spark, d):
 @query("SELECT doc_id, string_split(p, ' ')[1] AS route, upper(regexp_extract(p, '\\[(\\w+)\\]', 1)) AS method FROM (SELECT doc_id, unnest(['/docs/' || doc_id || ' [get]', '/sources/' || coalesce(source, 'none') || ' [post]']) AS p FROM documents)")
 def x_doc_routes(spark, d):
     """Routes in comments, all of each text."""
-    c = F.concat(F.lit("// @Router /docs/"), "doc_id", F.lit(" [get]\n// text\n// @Router /sources/"), F.coalesce("source", F.lit("none")), F.lit(" [post]"))
+    c = F.concat(F.lit("// @Router /docs/"), "doc_id", F.lit(" [get]\n// text\n// @Router /sources/"), F.coalesce("source", F.lit("none")), F.lit(" [post]\n"), F.coalesce("text", F.lit("")))
     return table(spark, d, "documents").select("doc_id", F.explode(X.doc_routes(c)).alias("r")).select("doc_id", F.col("r.path").alias("route"), F.col("r.method").alias("method"))
 
 
@@ -859,7 +942,9 @@ def q_titles_router(spark, d):
 @query("SELECT package, count(*) AS n_functions, count(DISTINCT path) AS n_files FROM {fn} GROUP BY 1")
 def q_answer(spark, d):
     """Q6: rows that answer a question about the architecture."""
-    return compose.answer(B.functions(spark, d), B.calls(spark, d), "show the project layout")[2]
+    f = B.functions(spark, d)
+    types = spark.createDataFrame([], "repo_id string, path string, name string, kind string")
+    return compose.answer(compose.Store(f, B.calls(spark, d), types, f.select("repo_id", "path", "package").distinct()), "show the project layout").rows
 
 
 @query("SELECT f.repo_id, f.path, f.name, count(c.callee) AS n_callers FROM (SELECT DISTINCT repo_id, path, name, line_start FROM {fn} WHERE contains(lower(name), 'ledger') OR contains(lower(signature), 'ledger') ORDER BY repo_id, path, name LIMIT 20) f LEFT JOIN {calls} c ON c.repo_id = f.repo_id AND c.callee = f.name GROUP BY f.repo_id, f.path, f.name, f.line_start")
@@ -869,10 +954,12 @@ def q_find_and_expand(spark, d):
     return ctx.last_data
 
 
-@query("SELECT cost_level, count(*) AS n FROM (VALUES ('expensive'), ('cheap'), ('cheap'), ('free'), ('free'), ('free'), ('free'), ('free'), ('free'), ('free'), ('cheap'), ('cheap'), ('cheap'), ('expensive'), ('expensive')) t(cost_level) GROUP BY 1")
+@query("SELECT * FROM (VALUES ('tiny', 'free', 1, 0), ('small', 'free', 4, 0), ('small', 'cheap', 3, 0), ('small', 'expensive', 2, 1), ('medium', 'free', 7, 0), ('medium', 'cheap', 4, 0), ('medium', 'expensive', 3, 3), ('large', 'cheap', 4, 0), ('large', 'expensive', 1, 1), ('skills', 'development', 3, 10)) t(output_size, cost_level, n, n_ai)")
 def k_hints(spark, d):
-    """Tools by cost."""
-    return compose.hints(spark).groupBy("cost_level").agg(F.count(F.lit(1)).alias("n"))
+    """Tools by size and cost, how many of them need a model; skills of one category with their tools."""
+    tools = compose.hints(spark).groupBy("output_size", "cost_level").agg(F.count(F.lit(1)).alias("n"), F.count_if("requires_ai").alias("n_ai"))
+    of = compose.skills(spark, "development").agg(F.lit("skills").alias("output_size"), F.lit("development").alias("cost_level"), F.count(F.lit(1)).alias("n"), F.sum(F.size("uses_tools")).alias("n_ai"))
+    return tools.unionByName(of).select("output_size", "cost_level", F.col("n").cast("int").alias("n"), F.col("n_ai").cast("int").alias("n_ai"))
 
 
 # --- further helpers ----------------------------------------------------------------------------------------------------
@@ -922,6 +1009,12 @@ def t_page(spark, d):
     return rank.page(B.functions(spark, d), ["line_start"], 20, 10)[1]
 
 
+@query("SELECT line_start, name FROM {fn} ORDER BY line_start LIMIT 20 OFFSET 10")
+def t_page_rows(spark, d):
+    """The page itself."""
+    return rank.page(B.functions(spark, d), ["line_start"], 20, 10)[0].select("line_start", "name")
+
+
 @query("WITH c AS (SELECT repo_id, caller_path, caller, min(line) AS line FROM {calls} WHERE callee = (SELECT max(callee) FROM {calls}) GROUP BY ALL) SELECT c.*, f.signature FROM c LEFT JOIN (SELECT repo_id, path, name, min(signature) AS signature FROM {fn} GROUP BY ALL) f ON f.repo_id = c.repo_id AND f.path = c.caller_path AND f.name = c.caller")
 def j_caller_details(spark, d):
     """Callers with their signatures."""
@@ -941,3 +1034,68 @@ def q_function_context(spark, d):
 def k_vector_ids(spark, d):
     """Identities of function vectors."""
     return B.functions(spark, d).select("line_start", X.vector_id(F.col("repo_id"), "func", F.col("path"), F.col("name")).alias("vector_id"))
+
+
+_PRC = _AF.replace("m[2]", "m.c").replace("min((coalesce(c.line, 0), c.callee))", "min(struct_pack(l := coalesce(c.line, 0), c := c.callee))")
+
+
+@query("""WITH ch AS (SELECT DISTINCT repo_id, path FROM {fn} WHERE ends_with(path, '_order.go')), f AS (SELECT f.* FROM {fn} f JOIN ch USING (repo_id, path)),
+up AS (SELECT f.repo_id, f.path, count(DISTINCT (c.caller_path, c.caller)) AS n FROM (SELECT DISTINCT repo_id, path, name FROM f) f JOIN {calls} c ON c.repo_id = f.repo_id AND c.callee = f.name AND c.caller_path <> f.path GROUP BY ALL),
+down AS (SELECT c.repo_id, c.caller_path AS path, count(DISTINCT c.callee) AS n FROM {calls} c JOIN ch ON ch.repo_id = c.repo_id AND ch.path = c.caller_path GROUP BY ALL)
+SELECT ch.repo_id, ch.path, count(f.name) AS n_functions, count(f.name) FILTER (f.is_public) AS n_public, coalesce(any_value(up.n), 0) AS n_callers, coalesce(any_value(down.n), 0) AS n_callees FROM ch LEFT JOIN f USING (repo_id, path) LEFT JOIN up USING (repo_id, path) LEFT JOIN down USING (repo_id, path) GROUP BY ALL""")
+def q_pr_context(spark, d):
+    """Q20: changed files with their functions, callers and callees."""
+    return impact.change_context(B.calls(spark, d), B.functions(spark, d), _changed(spark, d))
+
+
+@query(f"""WITH t AS (SELECT name, arg_max(signature, (path, line_start)) AS s FROM {{fn}} WHERE repo_id = {_T} GROUP BY 1), m AS (SELECT
+(SELECT count(*) FROM (SELECT name FROM {{fn}} GROUP BY 1 HAVING count(DISTINCT repo_id) > 1)) AS duplicates,
+(SELECT count(*) FROM {{fn}} f JOIN t USING (name) WHERE f.repo_id <> {_T} AND f.signature IS DISTINCT FROM t.s AND contains(f.signature, 'error') <> contains(t.s, 'error')) AS high_conflicts,
+(SELECT count(*) FROM (SELECT name FROM {{fn}} WHERE repo_id <> {_T} AND name NOT IN (SELECT name FROM {{fn}} WHERE repo_id = {_T}) GROUP BY 1 HAVING count(*) >= 3)) AS high_gaps,
+(SELECT count(*) FROM (SELECT path FROM {{files}} GROUP BY 1 HAVING count(DISTINCT repo_id) > 1 AND count(DISTINCT hash) > 1)) AS differing_files,
+(SELECT round((1.0 + 0.8 + greatest(0.5::DOUBLE, 1.0 - issues * 0.1::DOUBLE)) / 3, 6) FROM ({_STR})) AS overall)
+SELECT *, coalesce(nullif(array_to_string(list_filter([CASE WHEN duplicates > 5 THEN 'Create a shared library for common functions' END, CASE WHEN high_conflicts > 0 THEN 'Resolve severe conflicts before a merge' END, CASE WHEN high_gaps > 0 THEN 'Migrate functions of high priority to the target' END,
+  CASE WHEN overall < 0.7 THEN 'Improve consistency to ease maintenance' END, CASE WHEN differing_files > 0 THEN 'Review files that differ between repositories' END], lambda x: x IS NOT NULL), '|'), ''), 'Repositories are well aligned') AS advice FROM m""")
+def q_compare(spark, d):
+    """The comparison of all repositories with one, and its advice."""
+    m = compare.compare(B.functions(spark, d), B.files(spark, d), _target(spark, d))
+    return m.select("duplicates", "high_conflicts", "high_gaps", "differing_files", F.round("overall", 6).alias("overall"), F.array_join("advice", "|").alias("advice"))
+
+
+@query("SELECT repo_id, file_path, hash, CASE WHEN status IN ('new', 'modified') THEN 'fresh' ELSE 'kept' END AS origin FROM (" + _CH + " SELECT x.repo_id, x.file_path, x.status, coalesce(c.hash, s.hash) AS hash FROM x LEFT JOIN c ON c.repo_id = x.repo_id AND c.path = x.file_path LEFT JOIN s ON s.repo_id = x.repo_id AND s.path = x.file_path) WHERE status <> 'deleted'")
+def q_refresh(spark, d):
+    """Q24, Q25: a derived table after a change set: rows of changed files are made anew, those of deleted ones go."""
+    now, before = (x.select("repo_id", "file_path", "hash") for x in _sides(spark, d))
+    ch = changes.file_changes(now, before)
+    return changes.refresh(before.withColumn("origin", F.lit("kept")), now.withColumn("origin", F.lit("fresh")), ch)
+
+
+@query("SELECT owner_name AS org_id, count(DISTINCT repo_id) AS n FROM pull_requests WHERE owner_name <> 'team-chunk' GROUP BY 1 UNION ALL SELECT 'team-chunk', count(DISTINCT repo_id) FROM pull_requests WHERE owner_name = 'team-chunk' AND repo_name < 'm' HAVING count(*) > 0")
+def u_register(spark, d):
+    """Q27, K6: an organisation registered anew has just the repositories named, whatever it had."""
+    m = table(spark, d, "pull_requests").select(F.col("owner_name").alias("org_id"), "repo_id", "repo_name").distinct()
+    rows = m.where((F.col("org_id") == "team-chunk") & (F.col("repo_name") < "m")).drop("repo_name")
+    held = m.drop("repo_name").where((F.col("org_id") != "team-chunk") | F.lit(False)).unionByName(m.drop("repo_name").where(F.col("org_id") == "team-chunk").join(rows.select("org_id").distinct(), "org_id", "left_semi"))
+    return org.register(held, rows).groupBy("org_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, coalesce(timestamp, TIMESTAMP '2024-02-01') AS timestamp FROM (SELECT id, CASE WHEN success THEN timestamp END AS timestamp FROM {usage})")
+def s_default_time(spark, d):
+    """Records without a time get one."""
+    u = B.usage(spark, d).withColumn("timestamp", F.when(F.col("success"), F.col("timestamp")))
+    return U.with_default_time(u, F.to_timestamp_ntz(F.lit("2024-02-01 00:00:00"))).select("id", "timestamp")
+
+
+@query("SELECT DISTINCT 'https://host.test/' || repo_id || '.git' AS url, 'host.test/' || repo_id AS id FROM graph_nodes")
+def k_repo_ids(spark, d):
+    """Repository ids of addresses."""
+    u = table(spark, d, "graph_nodes").select(F.concat(F.lit("https://host.test/"), "repo_id", F.lit(".git")).alias("url")).distinct()
+    return u.select("url", X.repo_id_of_url("url").alias("id"))
+
+
+@query("SELECT n_name AS concept, CASE lower(n_name) WHEN 'auth' THEN 'authentication' ELSE lower(n_name) END AS name FROM nation UNION ALL SELECT * FROM (VALUES ('Login', 'authentication'), ('SQL', 'database'), ('endpoint', 'handler'), ('Cache', 'cache'))")
+def f_concept_name(spark, d):
+    """names of concepts, synonyms resolved."""
+    n = table(spark, d, "nation").select(F.col("n_name").alias("concept"))
+    more = spark.createDataFrame([("Login",), ("SQL",), ("endpoint",), ("Cache",)], "concept string")
+    return n.unionByName(more).select("concept", search.concept_name(F.col("concept")).alias("name"))

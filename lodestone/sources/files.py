@@ -57,7 +57,9 @@ def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, max_b
     """
     base = root.rstrip("/") + "/"
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([root, *(base + h for h in hidden or [])])
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + base.replace(".", r"\."), "")
+    whole = F.regexp_replace("path", "^file:/*", "/")
+    # the root is no pattern: it is cut off by its length
+    rel = F.when(whole.startswith(base), F.substr(whole, F.lit(len(base) + 1))).otherwise(whole)
     return df.where(F.col("length") <= max_bytes).select(
         rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"), "content"
     ).where(~excluded(F.col("path"), exclude or [])).select("path", "size", "mod_time", language(F.col("path")).alias("language"), F.sha2("content", 256).alias("hash"), "content")
@@ -107,11 +109,26 @@ def replace_partitions(df: DataFrame, path: str, by: str = "repo_id") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The table with ``rows`` put in place of those with the same keys; of equal keys in ``rows`` the last-sorted holds."""
+def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The table with ``rows`` put in place of those with the same keys, columns of any type.
+
+    Of several rows with equal keys the last by the column ``order`` holds (ties: either, they have one time); without
+    one, the largest by all columns but maps. Rows of the table whose keys come in ``rows`` give way even to older ones: what is put is meant.
+    """
     rest = [c for c in rows.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__r")).select(*keys, "__r.*") if rest else rows.distinct()
-    return table.join(last.select(*keys), keys, "left_anti").unionByName(last)
+    if not rest:
+        last = rows.distinct()
+    elif order:
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__r"), F.first(F.struct(*rest)).alias("__f")).select(*keys, F.coalesce("__r", "__f").alias("__r")).select(*keys, "__r.*")
+    else:
+        sortable = [c for c in rest if "map<" not in rows.schema[c].dataType.simpleString()] or [F.lit(0)]
+        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*sortable)).alias("__r")).select(*keys, "__r.*")
+    return table.join(last.select(*keys), keys, "left_anti").unionByName(last.select(*table.columns))
+
+
+def listing(repos: DataFrame, keys: list[str], limit: int = 100) -> DataFrame:
+    """Contexts, the latest analysed first, ties by key; a page of ``limit``."""
+    return repos.orderBy(F.desc("analyzed_at"), *keys).limit(limit)
 
 
 def without(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

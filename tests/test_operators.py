@@ -288,3 +288,118 @@ def test_chains(spark):
     df = spark.createDataFrame([("abcdefgh",)], "t string")
     assert compose.Chain(compose.Step("t", lambda: df)).use(compose.budget(10)).run().last.tokens == 2 and not compose.Chain(compose.Step("t", lambda: df)).use(compose.budget(1)).run().last.ok
     assert compose.substitute({"a": {"b": "{{v}}"}, "l": ["{{v}}"], "t": "x {{v}}"}, {"v": 1}) == {"a": {"b": 1}, "l": ["{{v}}"], "t": "x {{v}}"}
+
+
+def test_middleware_and_builder(caplog):
+    import logging
+
+    boom = lambda: 1 / 0
+    metrics, seen = compose.Metrics(), []
+    chain = compose.Chain().use(compose.measured(metrics), compose.logged(logging.getLogger("chain")), compose.stored("got")).call("a", lambda x: x + 1, x="{{n}}").call_into("b", "b", lambda x: x * 2, x="{{got_a}}").call_if(lambda c: False, "no", boom)
+    with caplog.at_level(logging.INFO, "chain"):
+        ctx = chain.run(n=1)
+    assert ctx.last_data == 4 and ctx.variables["b"] == 4 and metrics.calls == metrics.successes == 2 and len(caplog.records) == 4
+    ctx = compose.Chain().use(compose.on_error(lambda s, e: bool(seen.append(e)))).call("x", boom).call("y", lambda: 1).run()
+    assert ctx.stopped and len(ctx.results) == 1 and "division" in seen[0]
+    assert compose.Chain().use(compose.transformed(lambda r: compose.Result(r.step, True, 7))).call("x", lambda: 1).run().last_data == 7
+    import time as clock
+
+    assert "timeout" in compose.Chain().use(compose.within(0.05)).call("x", lambda: clock.sleep(0.5)).run().last.error
+    assert [compose.backoff(i, 1, 2, 5) for i in range(4)] == [1, 2, 4, 5] and all(0.5 <= compose.backoff(0, 1, jitter=0.5) <= 1.5 for _ in range(20))
+    b = compose.TokenBudget(10)
+    assert b.use(6) and not b.use(5) and b.fits(4) and b.percent == 60.0 and compose.TokenBudget(0).percent == 0.0
+    b.reset()
+    assert b.remaining == 10
+
+
+def _small_store(spark):
+    f = spark.createDataFrame([("r", "a.go", "GetUser", 1, ["db_query"], "p", True), ("r", "b.go", "HandleUser", 2, ["http_call"], "p", True), ("s", "c.go", "GetUser", 3, [], "q", False)], "repo_id string, path string, name string, line_start long, side_effects array<string>, package string, is_public boolean")
+    c = spark.createDataFrame([("r", "b.go", "HandleUser", "GetUser", None, "a.go", 5, "internal"), ("r", "a.go", "GetUser", "Query", "db", None, 6, "method")], "repo_id string, caller_path string, caller string, callee string, callee_package string, callee_file string, line int, call_type string")
+    t = spark.createDataFrame([("r", "a.go", "User", "struct")], "repo_id string, path string, name string, kind string")
+    return compose.Store(f, c, t, f.select("repo_id", "path").distinct())
+
+
+def test_patterns_and_quick_chains(spark):
+    st = _small_store(spark)
+    ctx = compose.search_with_context(st, "user").run()
+    assert {r["relation"] for r in ctx.last_data.collect()} == {"caller", "callee"} and len(ctx.results) == 2
+    assert len(compose.search_with_context(st, "nothing").run().results) == 1
+    assert {(r["repo_id"], r["name"]) for r in compose.multi_repo_search(st, ["r", "s"], "user").run().last_data.collect()} == {("r", "GetUser"), ("r", "HandleUser"), ("r", "User"), ("s", "GetUser")}
+    ctx = compose.database_operations(st).run()
+    assert ctx.variables["db_reads"].count() == 1 and ctx.variables["db_writes"].count() == 0
+    ctx = compose.http_endpoints(st).run()
+    assert ctx.variables["handlers"].count() == 1 and ctx.variables["http_calls"].count() == 1
+    assert compose.analyze_function(st, "r", "a.go", "GetUser").run().variables["callers"].count() == 1
+    assert set(compose.PATTERNS) == {"find_and_expand", "search_with_context", "impact_analysis", "multi_repo_search"}
+
+
+def test_answers_without_rows(spark):
+    st = _small_store(spark)
+    a = compose.answer(st, "what does Nothing do")
+    assert (a.intent, a.confidence(False), a.confidence(), a.needs_ai, a.rows.count()) == ("function", 0.5, 0.95, False, 0)
+    a = compose.answer(st, "hello")
+    assert a.needs_ai and a.rows.count() == 0 and a.confidence() == 0.3
+    assert compose.answer(st, "find authentication").confidence(False) == 0.8
+    assert compose.answer(compose.Store(st.functions.drop("side_effects"), st.calls, st.types, st.files), "which functions do database work").rows.count() == 0
+
+
+def test_analysis_helpers(spark):
+    tries = []
+
+    def analyze(x):
+        tries.append(x)
+        if x == "gone":
+            raise FileNotFoundError(x)
+        if tries.count(x) == 1:
+            raise OSError("busy")
+        return x
+
+    got = compose.analyze_each(["a", "gone"], analyze, at_once=99)
+    assert got["a"].ok and not got["gone"].ok and tries.count("a") == 2 and tries.count("gone") == 1
+    tables = {"t": spark.range(0)}
+    assert compose.get_or_analyze(lambda: tables["t"], lambda: tables.update(t=spark.range(3))).count() == 3
+    rows_ = []
+    assert compose.captured(rows_, "tool", lambda x: "y" * 40)(x=1) and rows_[0][0] == "tool" and rows_[0][2] == 10 and rows_[0][4]
+    with pytest.raises(ZeroDivisionError):
+        compose.captured(rows_, "bad", lambda: 1 / 0)()
+    assert not rows_[1][4] and "division" in rows_[1][5]
+    assert compose.skills(spark, "security").count() == 1 and compose.hints(spark, "DUPLICATE").first()["name"] == "find_duplicates" and compose.hints(spark).count() == 29
+
+
+def test_upsert_of_any_columns(spark):
+    from lodestone import schemas
+    from lodestone.sources.files import upsert
+
+    a = spark.createDataFrame([("1", "r", None, "function", "f", "p", [1.0], {"a": "x"}), ("2", "r", None, "function", "g", "p", None, None)], schemas.TABLES["vectors"])
+    b = spark.createDataFrame([("1", "r", None, "function", "late", "p", [2.0], {"a": "z"}, 5), ("1", "r", None, "function", "old", "p", [9.0], {"z": "z"}, 4), ("3", "r", None, "type", "t", "p", [], {}, None)], schemas.TABLES["vectors"] + ", at int")
+    got = {r["id"]: r["name"] for r in upsert(a, b, ["id"], order="at").collect()}
+    assert got == {"1": "late", "2": "g", "3": "t"} and upsert(schemas.empty(spark, "vectors"), b, ["id"], order="at").columns == a.columns
+    repos = schemas.empty(spark, "repos")
+    assert upsert(repos, repos, ["id"]).count() == 0 and upsert(repos, repos, ["id"], order="analyzed_at").count() == 0
+
+
+def test_budget_clamps_and_pack(spark):
+    from lodestone.operators import context
+
+    assert [context.clamp_budget(x) for x in (None, 0, -1, 7, 99_999)] == [4000, 4000, 4000, 7, 32_000]
+    df = spark.createDataFrame([("q", 1, 3.0, 60, 20), ("q", 2, 2.0, 50, 45), ("q", 3, 2.0, 30, 10), ("q", 4, 1.0, 20, 20), (None, 5, 1.0, 20, 20), ("r", 6, None, 1, 1), ("r", 7, 1.0, 1000, 999)], "q string, k int, s double, c int, m int")
+    got = {(r["q"], r["k"], r["form"], r["used"]) for r in rank.pack(df, "q", "k", "s", "c", 100).collect()}
+    assert got == {("q", 1, "full", 60), ("q", 3, "full", 90), (None, 5, "full", 20)}
+    got = {(r["q"], r["k"], r["form"], r["used"]) for r in rank.pack(df, "q", "k", "s", "c", 100, "m").collect()}
+    assert got == {("q", 1, "full", 60), ("q", 3, "full", 90), (None, 5, "full", 20)} and rank.pack(df.limit(0), "q", "k", "s", "c", 100).count() == 0
+
+
+def test_ranks_of_a_vocabulary_with_many_equal_counts(spark):
+    words = [(f"w{i:04}", 5 if i < 3 else 1) for i in range(1000)]
+    v = embedding.ranked_vocabulary(spark.createDataFrame(words, "word string, df long").repartition(4), 10, 16)
+    want = [w for w, _ in sorted(words, key=lambda x: (-x[1], x[0]))]
+    assert [r["word"] for r in v.orderBy("rank").collect()] == want and {r["rank"] for r in v.collect()} == set(range(1000))
+
+
+def test_scan_of_a_root_with_pattern_characters(spark, tmp_path):
+    from lodestone.sources.files import scan
+
+    root = tmp_path / "a+b (1)"
+    (root / "x").mkdir(parents=True)
+    (root / "x" / "m.go").write_text("package m")
+    assert [r["path"] for r in scan(spark, str(root)).collect()] == ["x/m.go"]
