@@ -99,6 +99,27 @@ def clean_type_for_index(t: Column | str) -> Column:
     return F.regexp_replace(F.lower(_col(t)), r"^\*?(?:\[\])?(?:map\[)?", "")
 
 
+def related_type_name(t: Column | str) -> Column:
+    """Type name without one ``*``, one ``[]``, one ``map[`` with all up to its bracket, and all up to the first dot."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(_col(t), r"^\*?(?:\[\])?(?:map\[)?", ""), r"^[^\]]*\]", ""), r"^[^.]*\.", "")
+
+
+def change_type_name(t: Column | str) -> Column:
+    """Type name without one prefix of each kind, then without all up to the first dot or, without one, the first bracket."""
+    u = F.regexp_replace(_col(t), r"^\*?(?:\[\])?(?:map\[)?", "")
+    return F.when(u.rlike(r"^[^.]+\."), F.regexp_replace(u, r"^[^.]*\.", "")).when(u.rlike(r"^[^\]]+\]"), F.regexp_replace(u, r"^[^\]]*\]", "")).otherwise(u)
+
+
+def camel_parts(name: Column | str) -> Column:
+    """Parts of a name as they are, cut before each capital of any script."""
+    return F.filter(F.split(_col(name), r"(?=\p{Lu})"), lambda w: w != "")
+
+
+def spaced_words(name: Column | str) -> Column:
+    """Words of a name in lower case, joined by blanks."""
+    return F.array_join(camel_words(name), " ")
+
+
 def base_type(t: Column | str) -> Column:
     """Type name without pointers, slices, maps, variadic dots and package."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(_col(t), r"^(?:\.\.\.|\*|\[\d*\])+", ""), r"^map\[[^\]]*\](?:\*|\[\])*", ""), r"^.*\.", "")

@@ -131,3 +131,16 @@ def repo_summary(files: DataFrame, functions: DataFrame) -> DataFrame:
     b = functions.groupBy("repo_id").agg(F.count(F.lit(1)).alias("function_count"))
     z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return a.join(b, "repo_id", "full_outer").select("repo_id", z("file_count"), z("function_count"))
+
+
+def build_systems(files: DataFrame) -> DataFrame:
+    """Per repository: build system (Go modules before npm before make; empty without any) and number of main packages."""
+    base = F.substring_index("path", "/", -1)
+    has = lambda n: F.bool_or(base == n)
+    system = F.when(has("go.mod"), "go modules").when(has("package.json"), "npm").when(has("Makefile"), "make").otherwise("")
+    return files.groupBy("repo_id").agg(system.alias("build_system"), F.count_distinct(F.when(base == "main.go", dirname("path"))).alias("main_packages"))
+
+
+def field_list(fields: str) -> Column:
+    """Fields as one text: ``name: type`` joined by commas."""
+    return F.array_join(F.transform(fields, lambda f: F.concat(f["name"], F.lit(": "), f["type"])), ", ")

@@ -219,3 +219,9 @@ def function_document(name: str = "name", signature: str = "signature", descript
     """Text of a function for embedding; nulls and empties are skipped."""
     texts = [F.nullif(F.col(c), F.lit("")) for c in (name, signature, description, summary)]
     return F.concat_ws(" ", *texts, F.col(steps), F.nullif(F.col(path), F.lit("")), F.col(effects))
+
+
+def type_document(name: str = "name", kind: str = "kind", description: str = "description", fields: str = "fields", path: str = "path") -> Column:
+    """Text of a type for embedding; empties are skipped."""
+    texts = [F.nullif(F.col(c), F.lit("")) for c in (name, kind, description)]
+    return F.concat_ws(" ", *texts, F.transform(fields, lambda f: F.concat_ws(" ", f["name"], f["type"])), F.nullif(F.col(path), F.lit("")))

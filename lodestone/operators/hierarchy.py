@@ -38,7 +38,8 @@ def peel(keys: np.ndarray, parents: np.ndarray) -> tuple[list[str], np.ndarray,
         np.subtract.at(degree, up, 1)
         up = np.unique(up)
         front = up[degree[up] == 0]
-    path: list[str] = [""] * n
+    text = keys.astype(str).astype(object)
+    path = np.full(n, "", object)
     depth, root, low = np.zeros(n, np.int64), keys.copy(), keys.copy()
     cyclic = degree > 0
     for i in np.flatnonzero(cyclic):
@@ -59,9 +60,8 @@ def peel(keys: np.ndarray, parents: np.ndarray) -> tuple[list[str], np.ndarray,
         depth[front] = np.where(tied, -1, np.where(tree, depth[top] + 1, 0))
         root[front] = np.where(up >= 0, root[top], keys[front])
         low[front] = np.where(tree, np.minimum(low[top], keys[front]), np.where(tied, low[top], keys[front]))
-        for i, p in zip(front.tolist(), up.tolist()):
-            path[i] = str(keys[i]) if p < 0 else path[p] if depth[p] < 0 else f"{path[p]}/{keys[i]}"
-    return path, depth, root, below, low
+        path[front] = np.where(up < 0, text[front], np.where(tied, path[top], path[top] + ("/" + text[front])))
+    return path.tolist(), depth, root, below, low
 
 
 _LOCAL = "block long, node long, out_parent long, path string, depth long, top long, below long, low long"

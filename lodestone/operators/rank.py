@@ -136,3 +136,13 @@ def page(df: DataFrame, order: list[str], limit: int, offset: int = 0) -> tuple[
     ahead = df.orderBy(*order).offset(offset).limit(n + 1)
     more = ahead.agg((F.count(F.lit(1)) > n).alias("has_more")).select("has_more", F.when(F.col("has_more"), offset + n).otherwise(0).alias("next_offset"))
     return df.orderBy(*order).offset(offset).limit(n), more
+
+
+# fixed values: default and upper limits of results
+LIMITS = {"search": (20, 100), "semantic": (10, 50), "concept": (20, 100), "budget": (4000, 32_000), "depth": (2, 5)}
+
+
+def clamp(kind: str, asked: int | None) -> int:
+    """The limit to use: the default where none or none above zero is asked, at most the upper one."""
+    default, most = LIMITS[kind]
+    return default if not asked or asked <= 0 else min(asked, most)
