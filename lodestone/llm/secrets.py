@@ -510,12 +510,24 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("table_name"), b.column("row_id"), pa.array(done, pa.string()), pa.array([len(s or ()) for s in spans], pa.int32())], ["table_name", "row_id", "text", "n_spans"])
 
 
-def redacted(texts: DataFrame, spans: DataFrame) -> DataFrame:
+def redacted(texts: DataFrame, spans: DataFrame, broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
     """(table_name, row_id, text, n_spans) of all texts, each once, with the spans' characters replaced.
 
-    Line structure and everything outside the spans stay as they were; null and empty texts come out as they are.
+    Line structure and everything outside the spans stay as they were; null and empty texts come out as they are. Only
+    texts that come several times are moved to be made one; spans and the keys of those texts are broadcast while few.
     """
-    keys = _KEYS
-    kept = texts.select("table_name", "row_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_id")).dropDuplicates(keys)
-    per = spans.groupBy(*keys).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return kept.join(per, keys, "left").select("table_name", "row_id", "text", "spans").mapInArrow(_redact, "table_name string, row_id long, text string, n_spans int")
+    kept = texts.select("table_name", "row_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_id"))
+    side = lambda df, c: cut(df.select(*[F.col(k).alias(f"__{k}") for k in _KEYS], c))
+    per = side(spans.groupBy(*_KEYS).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    often = side(kept.groupBy(*_KEYS).count().where(F.col("count") > 1).withColumn("often", F.lit(True)), "often")
+
+    def beside(df: DataFrame, other: DataFrame) -> DataFrame:
+        """Left join by the keys, null equal to null."""
+        same = F.lit(True)
+        for k in _KEYS:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        return df.join(F.broadcast(other) if other.count() <= broadcast_texts else other, same, "left").drop(*[f"__{k}" for k in _KEYS])
+
+    marked = beside(kept, often)
+    once = marked.where(F.col("often").isNull()).unionByName(marked.where(F.col("often").isNotNull()).dropDuplicates(_KEYS))
+    return beside(once, per).select("table_name", "row_id", "text", "spans").mapInArrow(_redact, "table_name string, row_id long, text string, n_spans int")

@@ -174,3 +174,12 @@ def test_long_names_take_one_pass():
     began = time.time()
     literals("+const cacheKey = \"" + "abcdefghijklmnopqrstuvwxyz" * 200 + "=\"")
     assert time.time() - began < 2
+
+
+def test_repeated_texts_are_redacted_once(spark):
+    data = [("a", 1, "r", "+password: Early!3529")] * 3 + [("a", 2, "r", "plain")] * 2 + [("a", 3, "r", None)] * 2 + [("a", None, "r", "plain")] * 2 + [("a", 1, "r", "another text"), ("a", 4, "r", "")]
+    texts = spark.createDataFrame(data, "table_name string, row_id long, owner string, text string")
+    found = credentials(texts)
+    want = sorted([("a", 1, "+password: [REDACTED]", 1), ("a", 1, "another text", 0), ("a", 2, "plain", 0), ("a", 3, None, 0), ("a", None, "plain", 0), ("a", 4, "", 0)], key=str)
+    for most in (100_000, 0):
+        assert sorted((tuple(r) for r in redacted(texts, found, most).collect()), key=str) == want
