@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_keywords
@@ -71,3 +71,21 @@ def budgeted(functions: DataFrame, query: str, cost: Column, budget: int | None
     score = rank.relevance(search_keywords(F.lit(query)), F.col("name"), F.col("description"), F.col("signature"), F.col("summary"))
     c = functions.select("repo_id", key, score.alias("score"), cost.alias("cost"), (short if short is not None else cost).alias("short")).where(F.col("score") > 0)
     return rank.pack(c, "repo_id", key, "score", "cost", clamp_budget(budget) - RESERVE, "short" if short is not None else None)
+
+
+def summary_request(extracted: DataFrame, most: int = 20) -> DataFrame:
+    """What a summary of each repository is asked from: its packages, and its first public functions and types by name.
+
+    The lists are cut to ``most`` before they are gathered, so that they stay short however large a repository is.
+    """
+    first = lambda df, name: df.withColumn("__r", F.row_number().over(Window.partitionBy("repo_id").orderBy(name, "path"))).where(F.col("__r") <= most).groupBy("repo_id")
+    f = extracted.select("repo_id", "path", F.explode("functions").alias("f")).where("f.is_public").select("repo_id", "path", "f.name", "f.signature")
+    functions = first(f, "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "signature"))), lambda x: x["signature"]).alias("functions"))
+    types = first(public_types(extracted), "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "name"))), lambda x: x["name"]).alias("types"))
+    packages = architecture(extracted).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_packages"), F.sum("n_files").alias("n_files"))
+    return packages.join(functions, "repo_id", "left").join(types, "repo_id", "left")
+
+
+def to_refresh(repos: DataFrame, forced: bool = False) -> DataFrame:
+    """Repositories with whether their summary is to be made anew: those without one, or all if forced."""
+    return repos.withColumn("state", F.when(F.lit(forced) | (F.coalesce("summary", F.lit("")) == ""), "update").otherwise("skip"))

@@ -225,3 +225,25 @@ def type_document(name: str = "name", kind: str = "kind", description: str = "de
     """Text of a type for embedding; empties are skipped."""
     texts = [F.nullif(F.col(c), F.lit("")) for c in (name, kind, description)]
     return F.concat_ws(" ", *texts, F.transform(fields, lambda f: F.concat_ws(" ", f["name"], f["type"])), F.nullif(F.col(path), F.lit("")))
+
+
+class Embedder:
+    """Strategy that turns texts into vectors: the vocabulary of one corpus with its dimension; others may take its place."""
+
+    def __init__(self, vocab: DataFrame, dimension: int = 256):
+        self.vocab, self.dimension = vocab, dimension
+
+    @classmethod
+    def fit(cls, docs: DataFrame, key: str, text: str, limit: int = 10_000, dimension: int = 256) -> Embedder:
+        return cls(index(docs, key, text, limit, dimension)[1], dimension)
+
+    def embed(self, docs: DataFrame, key: str, text: str) -> DataFrame:
+        """(key, vector) of texts; code is text whose identifiers are cut into words."""
+        return embed(docs, key, text, self.vocab, self.dimension)
+
+    def save(self, path: str) -> None:
+        self.vocab.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str, dimension: int = 256) -> Embedder:
+        return cls(spark.read.parquet(path), dimension)

@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import context, extraction, impact, rank, search
+from ..operators import context, extraction, impact, search
+from ..session import cut
 from . import bindings as B
 from . import compose
 
@@ -69,7 +70,11 @@ def extracted(spark: SparkSession, d: str) -> DataFrame:
 
 def functions(spark: SparkSession, d: str) -> DataFrame:
     """The functions that the files are named after; the helper ``routes`` aside."""
-    return extraction.functions(extracted(spark, d)).where("name <> 'routes'").withColumn("k", _key("path"))
+    return _functions(extracted(spark, d))
+
+
+def _functions(e: DataFrame) -> DataFrame:
+    return extraction.functions(e).where("name <> 'routes'").withColumn("k", _key("path"))
 
 
 def _key(path: str) -> Column:
@@ -174,9 +179,8 @@ def x_code_routes(spark, d):
 # --- indexes ------------------------------------------------------------------------------------------------------------
 
 
-def indexed(spark: SparkSession, d: str) -> DataFrame:
+def indexed(f: DataFrame) -> DataFrame:
     """Functions in the columns of the index."""
-    f = functions(spark, d)
     kinds = F.array_distinct(F.concat("error_handling.error_types", F.when(F.col("error_handling.wraps_errors"), F.array(F.lit("wrapped"))).otherwise(F.array().cast("array<string>"))))
     return f.select(
         "repo_id", "path", "name", F.col("k").alias("line_start"), F.transform("parameters", lambda p: p["type"]).alias("param_types"), "returns", "side_effects",
@@ -187,13 +191,13 @@ def indexed(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT e AS term, count(*) AS n FROM (SELECT unnest({_EFFECTS}) AS e FROM {{fn}} WHERE {_OK}) GROUP BY 1")
 def q_index_effects(spark, d):
     """Postings of the effect index."""
-    return search.build_index(indexed(spark, d)).where("kind = 'effect'").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return search.build_index(indexed(functions(spark, d))).where("kind = 'effect'").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT lower(t) AS term, count(*) AS n FROM (SELECT unnest(['context.context', 'string', {_TYPE}, 'string', 'error']) AS t FROM {{fn}} WHERE {_OK}) GROUP BY 1")
 def q_index_types(spark, d):
     """Q1: postings of the type index, parameters and returns."""
-    return search.build_index(indexed(spark, d)).where("kind = 'type'").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return search.build_index(indexed(functions(spark, d))).where("kind = 'type'").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT term, count(*) AS n FROM (SELECT unnest(['get', 'items' || (k % 10), 'id', 'any', 'x' || (k % 10)]) AS term FROM {{fn}} WHERE {_OK}) GROUP BY 1")
@@ -211,14 +215,15 @@ def q_index_type_names(spark, d):
 @query(f"SELECT kind, t AS term, count(*) AS n FROM (SELECT 'name' AS kind, lower(name) AS t FROM {{fn}} WHERE {_OK} UNION ALL SELECT 'effect', unnest({_EFFECTS}) FROM {{fn}} WHERE {_OK} UNION ALL SELECT 'concept', unnest({_PATTERNS}) FROM {{fn}} WHERE {_OK} UNION ALL SELECT 'error', unnest({_LIST % "CASE WHEN k % 4 = 1 THEN 'propagated_error' END, CASE WHEN k % 2 = 1 THEN 'wrapped' END"}) FROM {{fn}} WHERE {_OK}) GROUP BY ALL")
 def q_index_local(spark, d):
     """Q2: the smaller index: whole names, effects, patterns and kinds of errors."""
-    return search.build_local_index(indexed(spark, d)).groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n"))
+    return search.build_local_index(indexed(functions(spark, d))).groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT 'effect' AS kind, k FROM {{fn}} WHERE {_OK} AND k % 4 = 2 UNION ALL SELECT 'error', k FROM {{fn}} WHERE {_OK} AND k % 4 = 1 UNION ALL SELECT 'type', k FROM {{fn}} WHERE {_OK} AND k = (SELECT max(k) FROM {{fn}} WHERE {_OK}) UNION ALL SELECT 'concept', k FROM {{fn}} WHERE {_OK} AND k % 4 = 1")
 def q_lookup_kinds(spark, d):
     """Q3, K2, F8: functions looked up by effect, error, type and concept."""
-    i = search.build_index(indexed(spark, d)).unionByName(search.build_local_index(indexed(spark, d)).where("kind = 'error'"))
-    f = functions(spark, d)
+    f = cut(functions(spark, d))
+    known = indexed(f)
+    i = search.build_index(known).unionByName(search.build_local_index(known).where("kind = 'error'"))
     last = f.select(F.max_by(F.element_at("parameters", 3)["type"], "k")).first()[0] or ""
     parts = [search.lookup(i, kind, term) for kind, term in (("effect", "http_call"), ("error", "propagated_error"), ("type", last.removeprefix("*")), ("concept", "database"))]
     out = parts[0]
@@ -247,7 +252,7 @@ def a_effect_histogram(spark, d):
 @query(f"SELECT k FROM (SELECT k FROM {{fn}} WHERE {_OK} AND k % 4 = 1 ORDER BY CAST(k AS VARCHAR) || '.go', k LIMIT 100)")
 def f_by_effect(spark, d):
     """Functions of one effect, the first hundred by path."""
-    f = indexed(spark, d)
+    f = indexed(functions(spark, d))
     labels = f.select("repo_id", "path", "name", "line_start", F.explode("side_effects").alias("effect"))
     return search.by_label(labels, f, "effect", "DB_QUERY").select(F.col("line_start").alias("k"))
 
@@ -255,19 +260,21 @@ def f_by_effect(spark, d):
 @query(f"SELECT k, {_TYPE} AS type FROM {{fn}} WHERE {_OK}")
 def j_related_types(spark, d):
     """Types of a function's own file that it takes or gives."""
-    return impact.related_types(indexed(spark, d), extraction.types(extracted(spark, d))).select(_key("path").alias("k"), F.col("name").alias("type"))
+    e = _kept(spark, d)
+    return impact.related_types(indexed(_functions(e)), extraction.types(e)).select(_key("path").alias("k"), F.col("name").alias("type"))
 
 
 @query(f"SELECT repo_id, {_TYPE} AS type, count(*) AS n FROM {{fn}} WHERE {_OK} GROUP BY ALL")
 def j_type_usage(spark, d):
     """Functions that use each type."""
-    return impact.type_usage(indexed(spark, d), extraction.types(extracted(spark, d))).groupBy("repo_id", F.col("name").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    e = _kept(spark, d)
+    return impact.type_usage(indexed(_functions(e)), extraction.types(e)).groupBy("repo_id", F.col("name").alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT k, m AS method FROM (SELECT k, unnest(['GET', 'ANY']) AS m FROM {{fn}} WHERE {_OK}) WHERE k % 11 = 0")
 def j_affected_routes(spark, d):
     """Routes that a change set touches: those of changed files."""
-    e = extracted(spark, d)
+    e = cut(extracted(spark, d))
     f = extraction.functions(e)
     gone = f.where(_key("path") % 11 == 0).select("repo_id", "path").distinct()
     hit = impact.affected_routes(extraction.route_table(e), extraction.call_table(e).where("caller <> 'routes' AND callee = 'nothing'"), f, gone)
@@ -279,7 +286,7 @@ def j_affected_routes(spark, d):
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
     """What is extracted, without the helper ``routes``."""
-    return extracted(spark, d).withColumn("functions", F.filter("functions", lambda f: f["name"] != "routes"))
+    return cut(extracted(spark, d).withColumn("functions", F.filter("functions", lambda f: f["name"] != "routes")))
 
 
 @query(f"SELECT repo_id, count(*) AS n_files, count(*) FILTER ({_OK}) AS n_functions, count(*) FILTER ({_OK}) AS n_types, count(*) FILTER (regexp_matches(name, '^[A-Z]') AND {_OK}) AS n_public, CAST(sum(CASE WHEN {_OK} THEN 1 + CASE WHEN k % 2 = 1 THEN 1 ELSE 0 END + k % 3 + CASE k % 4 WHEN 1 THEN 1 WHEN 3 THEN 4 ELSE 0 END ELSE 0 END) AS BIGINT) AS complexity FROM {{fn}} GROUP BY 1")
@@ -327,12 +334,21 @@ def q_budgeted_context(spark, d):
     return context.budgeted(f, "plan loop", F.lit(100).cast("long"), 2000, key="k").select("repo_id", "k")
 
 
+@query(f"""WITH f AS (SELECT repo_id, '(*Store) ' || name || '(ctx context.Context, a string, in *' || {_TYPE} || ') (string, error)' AS s, row_number() OVER (PARTITION BY repo_id ORDER BY name, k || '.go') AS r FROM {{fn}} WHERE {_OK} AND regexp_matches(name, '^[A-Z]')),
+t AS (SELECT repo_id, {_TYPE} AS n, row_number() OVER (PARTITION BY repo_id ORDER BY {_TYPE}, k || '.go') AS r FROM {{fn}} WHERE {_OK}), p AS (SELECT repo_id, count(DISTINCT k % 7) AS n_packages, count(*) AS n_files FROM {{fn}} WHERE {_OK} GROUP BY 1)
+SELECT p.repo_id, n_packages, n_files, (SELECT string_agg(s, '|' ORDER BY r) FROM f WHERE f.repo_id = p.repo_id AND r <= 5) AS functions, (SELECT string_agg(n, '|' ORDER BY r) FROM t WHERE t.repo_id = p.repo_id AND r <= 5) AS types FROM p""")
+def q_summary_request(spark, d):
+    """What a summary of every repository is asked from."""
+    r = context.summary_request(_kept(spark, d), 5)
+    return r.select("repo_id", "n_packages", "n_files", F.array_join("functions", "|").alias("functions"), F.array_join("types", "|").alias("types"))
+
+
 # --- answers ------------------------------------------------------------------------------------------------------------
 
 
 def _store(spark: SparkSession, d: str) -> compose.Store:
-    e = extracted(spark, d)
-    f = functions(spark, d).withColumn("line_start", F.col("k"))
+    e = cut(extracted(spark, d))
+    f = _functions(e).withColumn("line_start", F.col("k"))
     return compose.Store(f, extraction.call_table(e).where("caller <> 'routes'"), extraction.types(e).withColumn("line_start", _key("path")), e.where("NOT parse_error").select("repo_id", "path", "package", "language", "purpose"))
 
 

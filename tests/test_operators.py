@@ -403,3 +403,47 @@ def test_scan_of_a_root_with_pattern_characters(spark, tmp_path):
     (root / "x").mkdir(parents=True)
     (root / "x" / "m.go").write_text("package m")
     assert [r["path"] for r in scan(spark, str(root)).collect()] == ["x/m.go"]
+
+
+def test_settings(spark):
+    from lodestone.settings import Settings, settings
+
+    assert settings(spark).max_file_size == 1 << 20
+    spark.conf.set("spark.lodestone.max_tokens", "7")
+    spark.conf.set("spark.lodestone.concurrent_files", "-2")
+    try:
+        got = settings(spark)
+        assert (got.max_tokens, got.concurrent_files) == (7, 1)
+        for bad in (Settings(storage_path=""), Settings(max_tokens=0), Settings(temperature=1.5), Settings(max_file_size=0)):
+            with pytest.raises(ValueError):
+                bad.validate()
+    finally:
+        spark.conf.unset("spark.lodestone.max_tokens")
+        spark.conf.unset("spark.lodestone.concurrent_files")
+
+
+def test_embedder_is_kept(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gammaDelta"), (3, None)], "id int, t string")
+    e = embedding.Embedder.fit(docs.where("t IS NOT NULL"), "id", "t", 3, 16)
+    e.save(str(tmp_path / "m"))
+    again = embedding.Embedder.load(spark, str(tmp_path / "m"), 16)
+    assert rows(e.embed(docs, "id", "t")) == rows(again.embed(docs, "id", "t")) and e.embed(docs, "id", "t").count() == 3
+
+
+def test_refresh_states(spark):
+    from lodestone.operators import context
+
+    df = spark.createDataFrame([("a", "text"), ("b", None), ("c", "")], "repo_id string, summary string")
+    assert [r["state"] for r in context.to_refresh(df).orderBy("repo_id").collect()] == ["skip", "update", "update"] and context.to_refresh(df, True).where("state = 'update'").count() == 3
+
+
+def test_store_of_contexts(spark, tmp_path):
+    from lodestone.sources.stores import ContextStore, schema
+
+    old = ContextStore(spark, str(tmp_path / "s"), version=1)
+    old.put("repos", spark.createDataFrame([("a/b", "main"), ("c", None)], "id string, branch string"))
+    now = ContextStore(spark, old.folder)
+    assert "build_system" in now.get("repos").columns and now.get("repos", "a/b").first()["branch"] == "main"
+    now.delete("a/b", ("repos",))
+    now.delete("nothing", ("repos", "files"))
+    assert [r["id"] for r in now.get("repos").collect()] == ["c"] and len(schema("repos", 1)) + 1 == len(schema("repos"))
