@@ -10,9 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources import golang as G
 from ..sources.files import language, purpose
@@ -23,7 +25,7 @@ VERBS = (
     ("new", "Create new"), ("handle", "Handle"), ("process", "Process"), ("send", "Send"), ("read", "Read"), ("write", "Write"), ("load", "Load"), ("save", "Save"), ("fetch", "Fetch"),
     ("convert", "Convert"), ("format", "Format"), ("check", "Check"), ("is", "Check if"), ("has", "Check has"), ("can", "Check can"),
 )
-# fixed values: descriptions of standard library calls by package; the last entry of each names what is not listed
+# fixed values: descriptions of standard library calls by package; the first entry of each names what is not listed
 STDLIB = {
     "http": ("HTTP", {"Get": "HTTP GET request", "Post": "HTTP POST request", "NewRequest": "Create HTTP request", "ListenAndServe": "Start HTTP server", "HandleFunc": "Register HTTP handler", "Do": "Execute HTTP request"}),
     "json": ("JSON", {"Marshal": "Encode to JSON", "Unmarshal": "Decode from JSON", "NewEncoder": "Create JSON encoder", "NewDecoder": "Create JSON decoder", "Encode": "Write JSON", "Decode": "Read JSON"}),
@@ -262,7 +264,7 @@ def _error_kind(e: list[G.Tok]) -> str:
 
 
 def input_usage(f: G.Func) -> dict[str, str]:
-    """The last call in order that each parameter is passed to by itself."""
+    """The first call in order that each parameter is passed to by itself."""
     out: dict[str, str] = {}
     names = {n for n, _ in f.params}
     for c in G.calls(f.body or []):
@@ -481,22 +483,24 @@ ANALYZERS = {"go": go_file}
 _EMPTY = {"package": "", "imports": [], "concepts": [], "parse_error": False, "functions": [], "types": [], "constants": [], "exports": [], "routes": []}
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _extract(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for repo, path, lang, why, content in zip(b["repo_id"], b["path"], b["language"], b["purpose"], b["content"]):
+        for repo, path, lang, why, content in zip(*(b.column(c).to_pylist() for c in ("repo_id", "path", "language", "purpose", "content"))):
             base = {"repo_id": repo, "path": path, "language": lang, "purpose": why, **_EMPTY}
-            text = bytes(content).decode("utf-8", "replace") if isinstance(content, (bytes, bytearray, memoryview)) else content
+            text = content.decode("utf-8", "replace") if isinstance(content, bytes) else content
             if lang in ANALYZERS and isinstance(text, str):
                 try:
                     base |= ANALYZERS[lang](text)
                 except (G.ParseError, RecursionError):
                     base |= {"purpose": "parse error", "parse_error": True}
+            for f in base["functions"]:
+                f["behavior"]["input_usage"] = list(f["behavior"]["input_usage"].items())
             if not base["concepts"]:
                 base["concepts"] = [p.lower() for p in (path or "").split("/") if len(p) > 2]
             rows.append(base)
         if rows:
-            yield pd.DataFrame(rows)
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -506,7 +510,8 @@ def extract(files: DataFrame) -> DataFrame:
     """
     lang = language(F.col("path"))
     ready = files.select("repo_id", "path", lang.alias("language"), purpose(F.col("path"), lang).alias("purpose"), "content")
-    return ready.mapInPandas(_extract, FILE)
+    schema = to_arrow_schema(T.StructType.fromDDL(FILE))
+    return ready.mapInArrow(lambda batches: _extract(batches, schema), FILE)
 
 
 def functions(extracted: DataFrame) -> DataFrame:
