@@ -17,6 +17,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +89,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def spans(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at ``first``, one range after the other."""
+    ends = np.cumsum(length)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - length), length)
+
+
 class _Prober:
     """Emits, for a batch of sets, the keys they are found by and the keys they ask for."""
 
@@ -108,9 +116,10 @@ class _Prober:
         sums = np.zeros(len(size), np.int64)
         np.bitwise_xor.at(sums, np.repeat(np.arange(len(size)), size), np.int64(1) << (_mix(flat.view(np.uint64) + np.uint64(0x1234567)) % np.uint64(SIGNATURE)).astype(np.int64))
         mark = np.minimum(size, LARGEST).astype(np.int64) << SIGNATURE | sums
-        asked = np.array([parts_of(int(s)) for s in size])
+        kinds, of = np.unique(size, return_inverse=True)  # sizes are few
+        asked = np.array([parts_of(s) for s in kinds.tolist()])[of]
         # a set is found in the layouts of all sets that may ask for it: those from its size to size / t
-        reach = np.array([parts_of(int(np.floor(s / self.t + 1e-9))) for s in size])
+        reach = np.array([parts_of(int(np.floor(s / self.t + 1e-9))) for s in kinds.tolist()])[of]
         for m in sorted(set(asked) | set(reach)):
             rows = np.flatnonzero(asked == m if asking else (asked <= m) & (reach >= m))
             if len(rows):
@@ -118,7 +127,7 @@ class _Prober:
 
     def _layout(self, m, rows, asking, cls, offsets, flat, size, mark):
         parts = self.groups + m
-        take = np.concatenate([np.arange(offsets[r], offsets[r + 1]) for r in rows])
+        take = spans(offsets[rows], size[rows])
         own = np.repeat(np.arange(len(rows)), size[rows])
         words = flat[take]
         part = self.part_ids(words, m)
@@ -136,22 +145,30 @@ class _Prober:
         def key(sums: np.ndarray, p: np.ndarray, left_out: int) -> np.ndarray:
             return _mix(sums + salt[p] + np.uint64(left_out * 0x51ED2701)).view(np.int64)
 
-        def left(c: int, d: int) -> list[int]:
-            """Sums of the cell's words with d left out."""
-            w, whole = mixed[start[c] : start[c + 1]].tolist(), int(total[c])
-            return [(whole - sum(x)) & 0xFFFFFFFFFFFFFFFF for x in itertools.combinations(w, d)]
+        def left(cells: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+            """(sums of the cells' words with d left out, number of the cell of each)."""
+            if d == 1:
+                return np.repeat(total[cells], held[cells]) - mixed[spans(start[cells], held[cells])], np.repeat(np.arange(len(cells)), held[cells])
+            sums, src = [], []
+            for i, c in enumerate(cells.tolist()):
+                w, whole = mixed[start[c] : start[c + 1]].tolist(), int(total[c])
+                got = [(whole - sum(x)) & 0xFFFFFFFFFFFFFFFF for x in itertools.combinations(w, d)]
+                sums += got
+                src += [i] * len(got)
+            return np.array(sums, np.uint64), np.array(src, np.int64)
 
         ids = cls[rows]
         if not asking:
             some = np.flatnonzero(held)
             yield key(total[some], some % parts, 0), ids[some // parts], mark[rows][some // parts]
-            for c in np.flatnonzero(held >= 3).tolist():  # with d left out a cell of 2d + 1 words or more may be asked for
-                p, r = np.array([c % parts]), c // parts
-                for d in range(1, (int(held[c]) - 1) // 2 + 1):
-                    got = key(np.array(left(c, d), np.uint64), p, d)
-                    yield got, np.repeat(ids[r], len(got)), np.repeat(mark[rows[r]], len(got))
+            for d in range(1, (int(held.max(initial=0)) - 1) // 2 + 1):  # a cell of 2d + 1 words or more may be asked for with d left out
+                deep = np.flatnonzero(held >= 2 * d + 1)
+                sums, src = left(deep, d)
+                c = deep[src]
+                yield key(sums, c % parts, d), ids[c // parts], mark[rows][c // parts]
             return
-        need = np.array([1 + max(tau(int(s), b, self.t) for b in range(max(1, int(np.ceil(self.t * s - 1e-9))), int(s) + 1)) for s in size[rows].tolist()])
+        kinds, of = np.unique(size[rows], return_inverse=True)
+        need = np.array([1 + max(tau(s, b, self.t) for b in range(max(1, int(np.ceil(self.t * s - 1e-9))), s + 1)) for s in kinds.tolist()])[of]
         h2 = held.reshape(len(rows), parts)
         kinds = int(min(h2.max(), need.max()))
         cost = np.full((len(rows), parts, kinds), float(self.total))
@@ -179,9 +196,8 @@ class _Prober:
             if d == 0:
                 sums, src, lim = total[c], np.arange(len(c)), T
             else:
-                got = [left(int(x), d) for x in c]
-                src = np.repeat(np.arange(len(c)), [len(g) for g in got])
-                sums, lim = np.array(list(itertools.chain.from_iterable(got)), np.uint64), (T - d)[src]
+                sums, src = left(c, d)
+                lim = (T - d)[src]
             p, who = hit[src, 1], rows[hit[src, 0]]
             for dx in range(int(lim.max(initial=-1)) + 1):  # d words left out here and dx there
                 ok = lim >= dx
@@ -203,11 +219,28 @@ def _probing(prober_args: tuple, asking: bool) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-def word_set(text):
-    """Sorted distinct 64-bit hashes of the runs of ASCII letters and digits in lower case; null and wordless texts: null."""
-    words = F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), F.lit(1)), lambda w: F.xxhash64(F.lower(w)))
-    s = F.array_sort(F.array_distinct(words))
-    return F.when(F.size(s) > 0, s)
+def word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, words) of (key, text): sorted distinct 64-bit hashes of the runs of ASCII letters and digits in lower case.
+
+    Null and wordless texts are left out. Only the distinct words of a batch are hashed.
+    """
+    for b in batches:
+        lists = pc.split_pattern_regex(pc.fill_null(b.column("text"), ""), "[^A-Za-z0-9]+")
+        words = pc.dictionary_encode(pc.ascii_lower(lists.flatten()))
+        hashes = np.array([xxhash.xxh64_intdigest(w) if w else 0 for w in words.dictionary.to_pylist()], np.uint64).view(np.int64)
+        empty = np.array([not w for w in words.dictionary.to_pylist()], bool)
+        code = words.indices.to_numpy()
+        row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+        row, h = row[~empty[code]], hashes[code][~empty[code]]
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+        row, h = row[new], h[new]
+        held = np.bincount(row, minlength=b.num_rows)
+        some = np.flatnonzero(held)
+        offsets = np.concatenate([[0], np.cumsum(held[some])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(some)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h))], ["key", "words"])
 
 
 def _correlated_parts(sets: DataFrame, frequent: list[int]) -> tuple[dict[int, int], int]:
@@ -274,7 +307,8 @@ def classes(records: DataFrame, key: str, text: str, digest: Callable = F.xxhash
     The word sets are made once and written. A class is named by the 64-bit digest of its words; sets that share one,
     told apart by a second digest, get names from other digests until no two sets have the same.
     """
-    rows = records.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), word_set(F.col(text)).alias("words")).where(F.col("words").isNotNull())
+    texts = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = texts.mapInArrow(word_sets, f"key {records.schema[key].dataType.simpleString()}, words array<long>")
     rows = cut(rows.withColumn("cls", digest("words")))
     for seed in itertools.count(1):
         other = F.xxhash64(F.lit(seed), "words")
