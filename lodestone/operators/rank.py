@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ask_keywords
+from ..session import cut
 
 
 def _holds(c: Column, k: Column) -> Column:
@@ -77,10 +78,23 @@ def file_priority(path: Column) -> Column:
     return F.when(low.rlike("handler|controller"), 1).when(low.rlike("model|entity"), 2).otherwise(3)
 
 
-def prefix_budget(df: DataFrame, by: list[str], order: list[Column | str], cost: str, budget: int) -> DataFrame:
-    """Rows of each group in order while their costs fit; the first overflow ends it. Adds ``used``."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
+def prefix_budget(df: DataFrame, by: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
+    """Rows of each group in order while their costs (never negative) fit; the first overflow ends it. Adds ``used``.
+
+    Groups are cut along their order into ranges: running sums within a range, and the sums of the ranges before it (as
+    many rows as a group has ranges), so that a group with most of the rows is no single task.
+    """
+    part = cut(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    w = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = part.groupBy(*by, "__part").agg(F.sum(cost).alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
+    ranges = sums.where(F.col("__before") <= budget).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__p"), "__before")
+    same = F.col("__part") == F.col("__p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    # ranges that begin beyond the budget take no part in the sums
+    near = part.join(ranges, same).withColumn("used", F.sum(cost).over(w) + F.col("__before")).where(F.col("used") <= budget)
+    return near.select(*df.columns, "used")
 
 
 def _folding(budget: int, has_short: bool, most: int | None):

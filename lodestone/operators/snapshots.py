@@ -7,6 +7,7 @@ predecessor only.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,7 +178,7 @@ class SnapshotStore:
         spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def _name(self, part: str, no: int) -> str:
-        return f"kept_{abs(hash(self.folder))}_{part}_{no}"
+        return f"kept_{hashlib.md5(self.folder.encode()).hexdigest()[:16]}_{part}_{no}"
 
     def open(self, no: int) -> None:
         """Take up the state that an earlier session left as version ``no``."""

@@ -447,3 +447,20 @@ def test_store_of_contexts(spark, tmp_path):
     now.delete("a/b", ("repos",))
     now.delete("nothing", ("repos", "files"))
     assert [r["id"] for r in now.get("repos").collect()] == ["c"] and len(schema("repos", 1)) + 1 == len(schema("repos"))
+
+
+def test_prefix_budget_of_a_group_in_many_ranges(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 5 < 4, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 40)).alias("g"), (F.lit(3000) - F.col("id")).alias("o"), (F.col("id") % 3).alias("c")).repartition(6)
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: r["o"]):
+        used, out, ended = want.setdefault(r["g"], [0, [], False])
+        if not ended and used + r["c"] <= 300:
+            want[r["g"]][0] += r["c"]
+            out.append(r["o"])
+        else:
+            want[r["g"]][2] = True
+    got = {}
+    for r in rank.prefix_budget(df, ["g"], ["o"], "c", 300).orderBy("o").collect():
+        got.setdefault(r["g"], []).append(r["o"])
+    assert got == {g: out for g, (_, out, _) in want.items() if out}
+    assert rank.prefix_budget(df.limit(0), ["g"], ["o"], "c", 300).count() == 0
