@@ -322,8 +322,8 @@ def classes(records: DataFrame, key: str, text: str, digest: Callable = F.xxhash
 
 def _slices(members: DataFrame, slice_members: int) -> DataFrame | None:
     """(cls, slices) of the classes with more than ``slice_members`` members; None if there are none."""
-    big = cut(members.groupBy("cls").count().where(F.col("count") > slice_members).select("cls", F.ceil(F.col("count") / slice_members).cast("int").alias("slices")))
-    return big if big.limit(1).count() else None
+    big = members.groupBy("cls").count().where(F.col("count") > slice_members).select("cls", F.ceil(F.col("count") / slice_members).cast("int").alias("slices"))
+    return cut(big) if big.limit(1).count() else None
 
 
 def similar_records(records: DataFrame, key: str, text: str, t: float, slice_members: int = SLICE_MEMBERS) -> DataFrame:
@@ -364,9 +364,9 @@ def similarity_classes(records: DataFrame, key: str, text: str, t: float) -> Dat
     of copies.
     """
     members, sets = classes(records, key, text)
-    sizes = cut(members.groupBy("cls").agg(F.min("key").alias("class_key"), F.count(F.lit(1)).alias("n")))
-    links = cut(similar_sets(sets, t))
-    both = links.select(F.col("a").alias("cls"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("o")))
+    sizes = members.groupBy("cls").agg(F.min("key").alias("class_key"), F.count(F.lit(1)).alias("n"))
+    ends = F.array(F.struct(F.col("a").alias("cls"), F.col("b").alias("o")), F.struct(F.col("b").alias("cls"), F.col("a").alias("o")))
+    both = similar_sets(sets, t).select(F.explode(ends).alias("e")).select("e.cls", "e.o")
     far = both.join(sizes.select(F.col("cls").alias("o"), "n"), "o").groupBy("cls").agg(F.sum("n").alias("far"))
     known = sizes.join(far, "cls", "left").select("cls", "class_key", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
     return members.join(known, "cls").select("key", "class_key", "n_links")
