@@ -3,7 +3,7 @@
 TABLES = {
     "repos": "id string, url string, branch string, commit_hash string, analyzed_at timestamp, total_files int, total_lines long, function_count int, type_count int, languages map<string,int>",
     "files": "repo_id string, path string, hash string, language string, package string, size long, line_count int, purpose string, concepts array<string>, imports array<struct<path:string,alias:string>>",
-    "functions": "repo_id string, path string, name string, name_lower string, signature string, description string, receiver string, is_public boolean, line_start int, line_end int, complexity int, "
+    "functions": "repo_id string, path string, name string, name_lower string, signature string, description string, receiver string, is_public boolean, line_start long, line_end int, complexity int, "
     "parameters array<struct<name:string,type:string>>, returns array<string>, behavior struct<summary:string,steps:array<string>,patterns:array<string>>, side_effects array<string>",
     "function_calls": "repo_id string, caller_path string, caller string, callee string, callee_package string, callee_file string, line int, call_type string",
     "types": "repo_id string, path string, name string, kind string, description string, is_public boolean, line_start int, line_end int, fields array<struct<name:string,type:string,tag:string,is_public:boolean>>",

@@ -33,11 +33,15 @@ class ContextStore:
         return f"{self.folder}/{table}"
 
     def put(self, table: str, rows: DataFrame) -> None:
-        """Replace the rows of just the repositories that come in ``rows``; columns that are absent become null."""
+        """Replace the rows of just the repositories that come in ``rows``; columns that are absent become null.
+
+        Rows are gathered by repository first, so that the number of files follows the repositories and not their product
+        with the tasks; large repositories are split.
+        """
         kinds = schema(table, self.version)
         have = set(rows.columns)
         cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds]
-        rows.select(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_partition(table)).parquet(self._path(table))
+        rows.select(*cols).hint("rebalance", _partition(table)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_partition(table)).parquet(self._path(table))
 
     def append(self, table: str, rows: DataFrame) -> None:
         """Add rows as they are."""
@@ -45,16 +49,26 @@ class ContextStore:
 
     def get(self, table: str, repo_id: str | None = None) -> DataFrame:
         """A table, or one repository's partition of it."""
-        df = self.spark.read.schema(schema(table, self.version)).parquet(self._path(table))
-        return df if repo_id is None else df.where(F.col(_partition(table)) == repo_id)
+        read = self.spark.read.schema(schema(table, self.version))
+        if repo_id is None:
+            return read.parquet(self._path(table))
+        fs, at = self._at(table, repo_id)
+        # the other repositories' folders are not even listed
+        df = read.option("basePath", self._path(table)).parquet(at.toString()) if fs.exists(at) else read.parquet(self._path(table))
+        return df.where(F.col(_partition(table)) == repo_id)
 
     def delete(self, repo_id: str, tables: tuple[str, ...]) -> None:
         """Remove a repository from tables; one that is not there is no error."""
+        for t in tables:
+            fs, at = self._at(t, repo_id)
+            fs.delete(at, True)
+
+    def _at(self, table: str, repo_id: str):
+        """File system and path of a repository's partition."""
         jvm = self.spark._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
         name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(repo_id)
-        for t in tables:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self._path(t)}/{_partition(t)}={name}"), True)
+        at = jvm.org.apache.hadoop.fs.Path(f"{self._path(table)}/{_partition(table)}={name}")
+        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
 def _partition(table: str) -> str:

@@ -449,6 +449,46 @@ def test_store_of_contexts(spark, tmp_path):
     assert [r["id"] for r in now.get("repos").collect()] == ["c"] and len(schema("repos", 1)) + 1 == len(schema("repos"))
 
 
+def _functions_with_wide_lines(spark, repos, each):
+    """``each`` functions of each of so many repositories, with keys beyond 32 bits, spread over all tasks."""
+    return spark.range(repos * each, numPartitions=8).select(F.concat(F.lit("r"), F.col("id") % repos).alias("repo_id"), F.lit("a.go").alias("path"), F.concat(F.lit("F"), "id").alias("name"), F.lit(True).alias("is_public"), (F.col("id") + 3_200_000_000).alias("line_start"))
+
+
+def test_store_keeps_lines_beyond_32_bits(spark, tmp_path):
+    from lodestone.sources.stores import ContextStore
+
+    ContextStore(spark, str(tmp_path / "s")).put("functions", _functions_with_wide_lines(spark, 2, 2))
+    assert rows(ContextStore(spark, str(tmp_path / "s")).get("functions").select("repo_id", "line_start")) == [("r0", 3_200_000_000), ("r0", 3_200_000_002), ("r1", 3_200_000_001), ("r1", 3_200_000_003)]
+    old = str(tmp_path / "old")
+    spark.createDataFrame([("f", 7, "r")], "name string, line_start int, repo_id string").write.partitionBy("repo_id").parquet(f"{old}/functions")
+    assert rows(ContextStore(spark, old).get("functions").select("name", "line_start")) == [("f", 7)]  # of a store with narrow lines
+
+
+def test_queries_of_stores_with_lines_beyond_32_bits(spark, tmp_path):
+    import __spark_entry__ as entry
+    from conftest import DATA
+
+    nodes = spark.read.parquet(f"{DATA}/graph_nodes.parquet")
+    nodes.withColumn("node_key", F.col("node_key") + 3_200_000_000).write.parquet(str(tmp_path / "graph_nodes.parquet"))
+    q = entry.queries()
+    one = q["s_one_repository"](spark, str(DATA)).withColumn("line_start", F.col("line_start") + 3_200_000_000)
+    assert rows(q["s_one_repository"](spark, str(tmp_path))) == rows(one)
+
+
+def test_store_writes_files_by_repository(spark, tmp_path):
+    from lodestone.sources.stores import ContextStore
+
+    store = ContextStore(spark, str(tmp_path / "s"))
+    store.put("functions", _functions_with_wide_lines(spark, 40, 50))
+    assert len(list((tmp_path / "s/functions").rglob("*.parquet"))) == 40 and store.get("functions").count() == 2000
+    one = store.get("functions", "r7")
+    assert one.count() == 50 and all("repo_id=r7/" in p for p in one.inputFiles()) and one.columns == store.get("functions").columns
+    assert store.get("functions", "nothing").count() == 0 and store.get("functions", "").count() == 0
+    odd = "a/b=c {x}*[1]%2F?"
+    store.put("functions", _functions_with_wide_lines(spark, 1, 3).withColumn("repo_id", F.lit(odd)))
+    assert store.get("functions", odd).count() == 3 and store.get("functions").count() == 2003
+
+
 def test_prefix_budget_of_a_group_in_many_ranges(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 5 < 4, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 40)).alias("g"), (F.lit(3000) - F.col("id")).alias("o"), (F.col("id") % 3).alias("c")).repartition(6)
     want = {}
