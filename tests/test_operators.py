@@ -471,6 +471,7 @@ def test_queries_of_stores_with_lines_beyond_32_bits(spark, tmp_path):
     nodes = spark.read.parquet(f"{DATA}/graph_nodes.parquet")
     nodes.withColumn("node_key", F.col("node_key") + 3_200_000_000).write.parquet(str(tmp_path / "graph_nodes.parquet"))
     q = entry.queries()
+    assert rows(q["s_store"](spark, str(tmp_path))) == rows(q["s_store"](spark, str(DATA)))
     one = q["s_one_repository"](spark, str(DATA)).withColumn("line_start", F.col("line_start") + 3_200_000_000)
     assert rows(q["s_one_repository"](spark, str(tmp_path))) == rows(one)
 
