@@ -65,7 +65,8 @@ def type_usage(functions: DataFrame, types: DataFrame) -> DataFrame:
     """
     t = functions.select("repo_id", "path", F.col("name").alias("function"), F.explode(F.concat("param_types", "returns")).alias("t"))
     words = t.select("repo_id", "path", "function", F.explode(F.regexp_extract_all("t", F.lit(r"(\w+)"), F.lit(1))).alias("name"))
-    return words.join(types.select("repo_id", "name").distinct(), ["repo_id", "name"]).distinct()
+    # type names grow with the code, while their estimate counts one type per file's list: they must not be broadcast by it
+    return words.join(types.select("repo_id", "name").distinct().hint("merge"), ["repo_id", "name"]).distinct()
 
 
 def neighbours(files: DataFrame, changed: DataFrame, limit: int = 10) -> DataFrame:

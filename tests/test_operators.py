@@ -437,6 +437,14 @@ def test_refresh_states(spark):
     assert [r["state"] for r in context.to_refresh(df).orderBy("repo_id").collect()] == ["skip", "update", "update"] and context.to_refresh(df, True).where("state = 'update'").count() == 3
 
 
+def test_type_usage_broadcasts_no_names(spark, tmp_path):
+    f = spark.createDataFrame([("r", "a", "F", ["*User"], ["[]x.Order"])], "repo_id string, path string, name string, param_types array<string>, returns array<string>")
+    spark.createDataFrame([("r", "User"), ("r", "User"), ("s", "Order")], "repo_id string, name string").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))  # files have an estimate
+    used = impact.type_usage(f, t)
+    assert "Broadcast" not in used._jdf.queryExecution().executedPlan().toString() and [(r["function"], r["name"]) for r in used.collect()] == [("F", "User")]
+
+
 def test_store_of_contexts(spark, tmp_path):
     from lodestone.sources.stores import ContextStore, schema
 
